@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.session import ship
+
 #: Most rows that a side may hold to be broadcast; every use counts the side first and has another way beyond it.
 BROADCAST_ROWS = 200_000
 
@@ -23,12 +25,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared scratch folder and read again: lineage is cut and a lost executor costs a read."""
+    ship(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,3 +55,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", sha
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in ``keys``, which is broadcast only after a count."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_anti")
