@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from marginalia.llm import word_bpe
+from marginalia.llm import exact_dedup, media, packing, token_counts, word_bpe
 
 QUERIES = {
+    "op1_token_attribution": token_counts.op1,
+    "op2_mixture_packing": packing.op2,
+    "op5_patricia_dedup": exact_dedup.op5,
     "op7_bpe_speculate_verify": word_bpe.op7,
+    "op9_interleaved_media": media.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_patricia_dedup": exact_dedup.ORACLE,
+}
