@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from marginalia.llm import exact_dedup, media, packing, token_counts, word_bpe
+from marginalia.llm import exact_dedup, media, packing, quality, token_counts, toxicity, word_bpe
 
 QUERIES = {
     "op1_token_attribution": token_counts.op1,
     "op2_mixture_packing": packing.op2,
+    "op4_toxicity_chain": toxicity.op4,
     "op5_patricia_dedup": exact_dedup.op5,
+    "op6_neighbour_quality": quality.op6,
     "op7_bpe_speculate_verify": word_bpe.op7,
     "op9_interleaved_media": media.op9,
 }
