@@ -60,3 +60,35 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", sha
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows whose ``key`` is in ``keys``, which is broadcast only after a count."""
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_anti")
+
+
+def _flat(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, root) of parents, by pointer jumping: every round halves each path."""
+    while True:
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = saved(parents.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "parents")
+        if jumped.filter("moved").isEmpty():
+            return jumped.drop("moved")
+        parents = jumped.drop("moved")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Distributed union-find: (node, root) for every node of the edges, the root being the smallest node it is connected with.
+
+    In each round every node with a smaller neighbour is hooked onto the smallest one, the hooks are flattened, and the edges move to the roots;
+    a node is hooked once at most, and only local minima are left, so the edges run out in few rounds. Each round is written to the shared
+    folder.
+    """
+    low, high = F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
+    left = saved(edges.select(low, high).filter("low < high").distinct(), "edges")
+    nodes = left.select(F.col("low").alias("node")).union(left.select("high")).distinct()
+    forest = None
+    while not left.isEmpty():
+        hooks = _flat(left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")))
+        forest = hooks if forest is None else forest.unionByName(hooks)
+        to_low, to_high = (hooks.select(F.col("node").alias(x), F.col("root").alias(f"new_{x}")) for x in ("low", "high"))
+        moved = left.join(to_high, "high").join(to_low, "low", "left").select(F.coalesce("new_low", "low").alias("x"), F.col("new_high").alias("y"))
+        left = saved(moved.select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).filter("low < high").distinct(), "edges")
+    if forest is None:
+        return nodes.select("node", F.col("node").alias("root"))
+    return nodes.join(_flat(forest), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

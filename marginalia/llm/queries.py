@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import exact_dedup, media, packing, quality, token_counts, toxicity, word_bpe
+from marginalia.llm import chosen_path, exact_dedup, media, packing, quality, token_counts, toxicity, word_bpe
 
 QUERIES = {
     "op1_token_attribution": token_counts.op1,
     "op2_mixture_packing": packing.op2,
+    "op3_chosen_path_join": chosen_path.op3,
     "op4_toxicity_chain": toxicity.op4,
     "op5_patricia_dedup": exact_dedup.op5,
     "op6_neighbour_quality": quality.op6,
