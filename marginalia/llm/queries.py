@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chosen_path, exact_dedup, media, packing, quality, token_counts, toxicity, word_bpe
+from marginalia.llm import chosen_path, compact_windows, exact_dedup, media, packing, quality, token_counts, toxicity, word_bpe
 
 QUERIES = {
     "op1_token_attribution": token_counts.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_patricia_dedup": exact_dedup.op5,
     "op6_neighbour_quality": quality.op6,
     "op7_bpe_speculate_verify": word_bpe.op7,
+    "op8_compact_windows": compact_windows.op8,
     "op9_interleaved_media": media.op9,
 }
 
