@@ -148,16 +148,33 @@ def cut(sched: Schedule, queue: str, first: int, n: int, length: int = LENGTH) -
 
 
 class LibraryWords(WordBPE):
-    """Ids by the tokenizers library: chunks between white space that were not met yet go to the library's own model word by word."""
+    """Ids by the tokenizers library: chunks between white space that were not met yet are encoded by the library in one call."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__(path)
-        self._tokenize = Tokenizer.from_file(path).model.tokenize
-
-    def learn(self, words: list[str], as_chars: bool = False) -> list[list[int]]:
-        return [[t.id for t in self._tokenize(w if as_chars else self._chars(w))] for w in words]
+        self._tokenizer = Tokenizer.from_file(path)
+
+    def _learned(self, keys: list[str]) -> Iterator[list[int]]:
+        plain = [k for k in keys if k[:1] != "\x00" and "<|" not in k]
+        got = self._tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        stops = np.searchsorted(begins, ends).tolist()
+        ids, at = got.ids, 0
+        own = iter(stops)
+        for k in keys:
+            if k[:2] == "\x00\x00":
+                yield [self.special[k[2:]]]
+            elif k[:1] == "\x00":
+                yield [t.id for t in self._tokenizer.model.tokenize(k[1:])]
+            elif "<|" in k:  # may have become a special token by lower case
+                yield [t.id for w in self.plain.findall(k) for t in self._tokenizer.model.tokenize(self._chars(w))]
+            else:
+                stop = next(own)
+                yield ids[at:stop]
+                at = stop
 
 
 @lru_cache(maxsize=2)
@@ -179,8 +196,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             for run_of in slices(batch.column(1).to_pylist()):
                 for raw in bpe.encode_many(run_of):
                     q = queues[len(n)]
-                    ids.append(np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(bpe.width).tobytes())
-                    n.append(len(raw) // 4 + 1)
+                    ids.append(np.append(raw, raw.dtype.type(end_id)).astype(bpe.width).tobytes())
+                    n.append(len(raw) + 1)
                     before.append(sent.get(q, 0))
                     sent[q] = before[-1] + n[-1]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "queue", "n", "before", "ids"])

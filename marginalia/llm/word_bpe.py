@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ NEVER = (1 << 60, -1)
 #: Code points below this are stable under NFC and are handled without the library's normaliser, except U+0130.
 PLAIN = 0x250
 #: Chunks between white space that a process keeps, and those beyond it that it keeps for a while.
-CACHED_WORDS = 250_000
-YOUNG_WORDS = 60_000
+CACHED_WORDS = 800_000
+YOUNG_WORDS = 200_000
+CACHED_IDS = 1 << 24
 
 
 def default_path() -> str:
@@ -58,6 +60,55 @@ def _plain_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{others}]+")
 
 
+class Index(dict):
+    """Table rows of chunks; a chunk that is met first gets the next row and waits in ``pending`` to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        row = self[chunk] = len(self)
+        self.pending.append(chunk)
+        return row
+
+
+class Ragged:
+    """Rows of different lengths in one array."""
+
+    def __init__(self, kind: type):
+        self.flat, self.start, self.rows, self.end = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), 0, 0
+
+    def add(self, rows: list) -> None:
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        new = np.frombuffer(b"".join(rows), np.uint8) if self.flat.dtype == np.uint8 else np.fromiter(chain.from_iterable(rows), self.flat.dtype, int(sizes.sum()))
+        if self.end + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.end], np.zeros(max(len(self.flat), len(new)) + self.end // 4, self.flat.dtype)])
+        if self.rows + len(rows) >= len(self.start):
+            self.start = np.concatenate([self.start[: self.rows + 1], np.zeros(len(self.start) + len(rows), np.int64)])
+        self.flat[self.end : self.end + len(new)] = new
+        self.start[self.rows + 1 : self.rows + len(rows) + 1] = self.end + np.cumsum(sizes)
+        self.rows += len(rows)
+        self.end += len(new)
+
+    def cut(self, rows: int) -> None:
+        self.rows, self.end = rows, int(self.start[rows])
+
+    def row(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.start[i + 1]]
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The named rows one after the other, and where each ends."""
+        first = self.start[rows]
+        sizes = self.start[rows + 1] - first
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return self.flat[:0], ends
+        at = np.arange(ends[-1])
+        at += np.repeat(first - (ends - sizes), sizes)
+        return self.flat[at], ends
+
+
 class WordBPE:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -94,10 +145,9 @@ class WordBPE:
         self.is_plain = re.compile(f"[\x01-\x1b\x20-įı-{chr(PLAIN - 1)}]*")
         self.path = path
         self.sound: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
-        self.young: list[str] = []
-        self.with_texts = False
+        self.index, self.order, self.base = Index(), [], None
+        self.ids, self.said = Ragged(self.width.type), None
+        self.token_bytes = [t.encode("utf-8") + b" " for t in self.tokens]
         self._library = None
         self.speculated = self.merged = 0
 
@@ -225,82 +275,99 @@ class WordBPE:
         self.merged += int((~kept).sum())
         return [p if ok else self._merge(c) for p, c, ok in zip(proposals, chars, kept.tolist(), strict=True)]
 
-    def _hold(self, keys: list[str], pieces: list[list[str]], as_chars: bool) -> None:
-        """Put chunks, each of some words, into the cache."""
-        words = dict.fromkeys(w for p in pieces for w in p)
-        ids = dict(zip(words, self.learn(list(words), as_chars), strict=True))
-        tokens, texts = self.tokens, self.with_texts
-        for key, p in zip(keys, pieces, strict=True):
-            own = ids[p[0]] if len(p) == 1 else [t for w in p for t in ids[w]]
-            self.cache[key] = np.array(own, "<u4").tobytes()
-            if texts:
-                self.texts[key] = " ".join([tokens[t] for t in own])
-        if len(self.cache) > CACHED_WORDS:
-            self.young += keys
-        else:
-            self.young += [k for k in keys if len(k) > 256]
+    def _learned(self, keys: list[str]) -> Iterator[list[int]]:
+        """Ids of each new chunk. Chunks with a leading zero character are byte-level strings, with two special tokens."""
+        pieces = [[] if k[:2] == "\x00\x00" else [k[1:]] if k[:1] == "\x00" else self.plain.findall(k) for k in keys]
+        words = {(w, k[:1] == "\x00") for k, p in zip(keys, pieces, strict=True) for w in p}
+        ids: dict[tuple[str, bool], list[int]] = {}
+        for as_chars in (False, True):
+            own = [w for w, kind in words if kind == as_chars]
+            ids.update(zip([(w, as_chars) for w in own], self.learn(own, as_chars), strict=True))
+        for k, p in zip(keys, pieces, strict=True):
+            kind = k[:1] == "\x00"
+            yield [t for w in p for t in ids[w, kind]] if p else [self.special[k[2:]]]
+
+    def _fill(self) -> None:
+        """Put the chunks that were met first just now into the tables."""
+        new, self.index.pending = self.index.pending, []
+        if not new:
+            return
+        got = list(self._learned(new))
+        self.ids.add(got)
+        if self.said is not None:
+            tokens = self.token_bytes
+            self.said.add([b"".join([tokens[t] for t in own]) for own in got])
+        self.order += new
+        if self.base is None and (len(self.order) >= CACHED_WORDS or self.ids.end > CACHED_IDS):
+            self.base = len(self.order)
 
     def _shed(self) -> None:
-        """Forget the chunks that came when the cache was full, and long ones."""
-        if len(self.young) > YOUNG_WORDS or any(len(k) > 256 for k in self.young):
-            for k in set(self.young):
-                self.cache.pop(k, None)
-                self.texts.pop(k, None)
-            self.young = []
-
-    def _parts(self, texts: list[str]) -> list[list[list[str]]]:
-        """For each text, lists of cache keys, with all keys put into the cache. No word crosses white space, so a chunk between white space
-        is encoded on its own; chunks that took the library's way to words start with a zero character, special tokens with two."""
-        self._shed()
-        out, plain, marked = [], set(), set()
-        for text in texts:
-            row = []
-            for part in self.split_special.split(text) if "<|" in text else (text,):
-                if part in self.special:
-                    row.append(["\x00\x00" + part])
-                    marked.add("\x00\x00" + part)
-                elif self.is_plain.fullmatch(part):
-                    chunks = part.lower().split()
-                    plain.update(chunks)
-                    row.append(chunks)
-                elif part:
-                    if self._library is None:
-                        from tokenizers import Tokenizer
-
-                        self._library = Tokenizer.from_file(self.path)
-                    norm = self._library.normalizer.normalize_str(part)
-                    row.append(words := ["\x00" + w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(norm)])
-                    marked.update(words)
-            out.append(row)
-        if new := list(plain.difference(self.cache)):
-            self._hold(new, [self.plain.findall(c) for c in new], False)
-        if new := list(marked.difference(self.cache)):
-            words = [w for w in new if w[1] != "\x00"]
-            self._hold(words, [[w[1:]] for w in words], True)
-            for w in new:
-                if w[1] == "\x00":
-                    self.cache[w] = np.array([self.special[w[2:]]], "<u4").tobytes()
-                    self.texts[w] = w[2:]
-        return out
+        """Forget the chunks that came after the tables were full."""
+        if self.base is not None and (len(self.order) - self.base > YOUNG_WORDS or self.ids.end - self.ids.start[self.base] > CACHED_IDS):
+            for k in self.order[self.base :]:
+                del self.index[k]
+            del self.order[self.base :]
+            for t in (self.ids, self.said):
+                if t is not None:
+                    t.cut(self.base)
+
+    def _keys(self, text: str) -> list[str]:
+        """Chunks of a text. No word crosses white space, so a chunk between white space is encoded on its own."""
+        if "<|" not in text and self.is_plain.fullmatch(text):
+            return text.lower().split()
+        keys: list[str] = []
+        for part in self.split_special.split(text):
+            if part in self.special:
+                keys.append("\x00\x00" + part)
+            elif self.is_plain.fullmatch(part):
+                keys += part.lower().split()
+            else:
+                if self._library is None:
+                    from tokenizers import Tokenizer
+
+                    self._library = Tokenizer.from_file(self.path)
+                norm = self._library.normalizer.normalize_str(part)
+                keys += ["\x00" + w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(norm)]
+        return keys
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids (without the decoded text) of each text as little-endian unsigned 32-bit integers."""
-        get = self.cache.__getitem__
-        for row in self._parts(texts):
-            yield b"".join(map(get, row[0])) if len(row) == 1 else b"".join(get(k) for keys in row for k in keys)
+    def _found(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Table rows of all chunks of the texts, and how many each text has."""
+        self._shed()
+        keys = [self._keys(t) for t in texts]
+        sizes = list(map(len, keys))
+        rows = np.fromiter(map(self.index.__getitem__, chain.from_iterable(keys)), np.int64, sum(sizes))
+        self._fill()
+        return rows, sizes
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text (without the decoded text)."""
+        rows, sizes = self._found(texts)
+        flat, ends = self.ids.gather(rows)
+        at = 0
+        for stop in np.concatenate(([0], ends))[np.cumsum(sizes)].tolist() if len(sizes) else ():
+            yield flat[at:stop]
+            at = stop
 
-    def encode_decode_many(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        self.with_texts = True
-        get, say = self.cache.__getitem__, self.texts.__getitem__
-        for row in self._parts(texts):
-            keys = row[0] if len(row) == 1 else [k for r in row for k in r]
-            yield b"".join(map(get, keys)), " ".join(map(say, keys))
+    def encode_decode_many(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+        if self.said is None:
+            self.said = Ragged(np.uint8)
+            self.said.add([b"".join([self.token_bytes[t] for t in self.ids.row(i)]) for i in range(len(self.order))])
+        rows, sizes = self._found(texts)
+        flat, ends = self.ids.gather(rows)
+        said, said_ends = self.said.gather(rows)
+        last, at, said_at = np.cumsum(sizes), 0, 0
+        stops, said_stops = (np.concatenate(([0], e))[last].tolist() for e in (ends, said_ends))
+        for stop, said_stop in zip(stops, said_stops, strict=True):
+            yield flat[at:stop].astype("<u4").tobytes(), said[said_at : max(said_at, said_stop - 1)].tobytes()
+            at, said_at = stop, said_stop
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_many([text]))
+        return next(self.encode_many([text])).astype("<u4").tobytes()
 
     def encode_decode(self, text: str) -> tuple[bytes, str]:
-        return next(self.encode_decode_many([text]))
+        ids, said = next(self.encode_decode_many([text]))
+        return ids, said.decode("utf-8")
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.tokens[i] for i in np.frombuffer(ids, "<u4")])
@@ -339,7 +406,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = Fal
             rows: list[list] = [[], [], [], [], []]
             for run_of in slices(batch.column(1).to_pylist()):
                 for ids, said in bpe.encode_decode_many(run_of):
-                    for out, v in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode("utf-8")).hexdigest(), *((ids, said) if keep_ids else ())), strict=False):
+                    for out, v in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest(), *((ids, said.decode("utf-8")) if keep_ids else ())), strict=False):
                         out.append(v)
             columns = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             if keep_ids:
