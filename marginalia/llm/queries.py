@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chosen_path, compact_windows, exact_dedup, media, packing, quality, token_counts, toxicity, word_bpe
+from marginalia.llm import chosen_path, compact_windows, exact_dedup, line_dedup, media, packing, quality, token_counts, toxicity, word_bpe
 
 QUERIES = {
     "op1_token_attribution": token_counts.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe_speculate_verify": word_bpe.op7,
     "op8_compact_windows": compact_windows.op8,
     "op9_interleaved_media": media.op9,
+    "op10_fuzzy_lines": line_dedup.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
