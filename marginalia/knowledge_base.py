@@ -77,8 +77,17 @@ class KnowledgeBase:
         self._point(parts)
 
     def _indexed(self, notes: DataFrame) -> bm25.Index:
-        # Ids are times, so their order is that of insertion; they are compared as text.
-        return bm25.build(notes.select("id", F.col("id").alias("ord"), bm25_text(F.col("title"), F.col("content")).alias("text")))
+        # Ids are times, so their order is that of insertion.
+        return bm25.build(self._texts(notes.orderBy("id")))
+
+    @staticmethod
+    def _texts(notes: DataFrame) -> DataFrame:
+        return notes.select("id", F.monotonically_increasing_id().alias("ord"), bm25_text(F.col("title"), F.col("content")).alias("text"))
+
+    def _change(self, notes: DataFrame, ids: DataFrame) -> None:
+        """Commit notes of which only some have other texts; both indexes take in those alone."""
+        own = notes.join(ids.select("id"), "id", "left_semi")
+        self._commit(notes, bm25.upsert(self.index, self._texts(own)), vectors.upsert(self.vectors, self._encoded(own)))
 
     def _encoded(self, notes: DataFrame) -> DataFrame:
         from marginalia.session import ship
@@ -108,7 +117,7 @@ class KnowledgeBase:
         """Import rows (title, content, tags) as notes and index them in the same change; the number of notes."""
         at = at or datetime.now()
         new = maintain.import_notes(rows, at.strftime("%Y-%m-%d %H:%M:%S"), note_type).withColumn("filepath", F.lit(None).cast("string"))
-        self._commit(maintain.upsert(self.notes, new.select(NOTES.names)))
+        self._change(maintain.upsert(self.notes, new.select(NOTES.names)), new)
         return new.count()
 
     def add(self, content: str, title: str | None = None, note_type: str = "fleeting", tags: list[str] | None = None, source: str | None = None, template: str | None = None, templates: admin.Templates | None = None, at: datetime | None = None) -> tuple[str, list[str]]:
@@ -125,10 +134,12 @@ class KnowledgeBase:
         note_id = next(i for n in range(10_000) if (i := f"{at:%Y%m%d%H%M%S}{n:04}") not in taken)
         one = self.spark.createDataFrame([(content,)], "content string").select("content", wiki_links(F.col("content")).alias("texts"), default_title(F.col("content")).alias("title")).first()
         asked = self.spark.createDataFrame([(t,) for t in one["texts"]], "link string")
-        found = {r["link"]: r["target"] for r in links.resolve(asked, self.notes).collect()}
-        row = (note_id, title or one["title"], content, note_type, at, at, tags, [found[t] for t in one["texts"] if t in found], [], source, None)
-        self._commit(maintain.with_backlinks(maintain.upsert(self.notes, self.spark.createDataFrame([row], NOTES))))
-        return note_id, [t for t in one["texts"] if t not in found]
+        targets = {r["link"]: r["target"] for r in links.resolve(asked, self.notes).collect()}
+        row = (note_id, title or one["title"], content, note_type, at, at, tags, [targets[t] for t in one["texts"] if t in targets], [], source, None)
+        unresolved = [t for t in one["texts"] if t not in targets]
+        one = self.spark.createDataFrame([row], NOTES)
+        self._change(maintain.with_backlinks(maintain.upsert(self.notes, one)), one)
+        return note_id, unresolved
 
     def edit(self, note_id: str, **fields) -> None:
         """Change title, content, tags, type or source of a note; new content gives new links and backlinks."""
@@ -144,7 +155,8 @@ class KnowledgeBase:
             found = {r["link"]: r["target"] for r in links.resolve(self.spark.createDataFrame([(t,) for t in texts], "link string"), self.notes).collect()}
             fields, kinds = {**fields, "links": [found[t] for t in texts if t in found]}, {**kinds, "links": "array<string>"}
         schema = "id string, " + ", ".join(f"{k} {kinds.get(k, 'string')}" for k in fields)
-        self._commit(maintain.edit(self.notes, self.spark.createDataFrame([(note_id, *fields.values())], schema)))
+        changes = self.spark.createDataFrame([(note_id, *fields.values())], schema)
+        self._change(maintain.edit(self.notes, changes), changes)
 
     def delete(self, ids: list[str]) -> None:
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -163,7 +175,8 @@ class KnowledgeBase:
     def import_markdown(self, folder: str) -> DataFrame:
         """Take the notes of a folder in, those of the same id in place of the old; (filepath, problem) of the files that are left out."""
         parsed = markdown.notes(markdown.files(self.spark, folder))
-        self._commit(maintain.upsert(self.notes, maintain.last_wins(markdown.valid(parsed), "id", "filepath")))
+        new = maintain.last_wins(markdown.valid(parsed), "id", "filepath")
+        self._change(maintain.upsert(self.notes, new), new)
         return markdown.invalid(parsed)
 
     def export_markdown(self, folder: str) -> int:

@@ -164,3 +164,19 @@ def test_stream(spark, tmp_path):
     assert set(seen) == {("gone", "202604120150293323"), ("up", "202604120150293324")}
     table = spark.read.schema(indexer.EVENTS).json(str(tmp_path / "in"))
     assert indexer.settled(table).count() == 4
+
+
+def test_batches(spark):
+    from marginalia.operators import batch
+    from marginalia.session import ship
+
+    ship(spark)
+
+    def half(row):
+        if row["n"] % 2:
+            raise ValueError("odd")
+        return {"h": row["n"] // 2}
+
+    done = batch.each(spark.createDataFrame([(i,) for i in range(5)], "n long"), half, "h long")
+    assert sorted(r["h"] for r in batch.good(done).collect()) == [0, 1, 2]
+    assert tuple(batch.counts(done).first()) == (5, 3, 2)
