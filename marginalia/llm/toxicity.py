@@ -27,9 +27,9 @@ from marginalia.llm.quality import held_out
 
 SAMPLE, TERMS, FOLDS, STEPS = 2500, 512, 3, 150
 #: Lengths of the word beginnings that are terms.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 CHAIN = ("named", "coded", "dense", "toxic")
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 #: A term must occur in so many of the toxic texts, and its logarithm of odds between toxic and other texts must be so large.
 SUPPORT, CLEAR = 0.02, 2.5
 CACHED = 300_000
@@ -53,15 +53,16 @@ def family(text: str) -> int:
 
 
 class Logistic:
-    """A linear model fitted by Adam on the whole batch with a ridge penalty."""
+    """A linear model fitted by Adam on the whole batch with a ridge penalty; both answers weigh the same in all."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = STEPS):
         w = np.zeros(x.shape[1] + 1, np.float32)
-        w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            e = (p - y).astype(np.float32) / len(y)
+            e = ((p - y) * weight).astype(np.float32)
             g = np.append(x.T @ e, e.sum()).astype(np.float32)
             g[:-1] += ridge * w[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -99,10 +100,10 @@ class Chain:
                 endings.setdefault(b, set()).add(m)
         strong = set(best)
         coded = {m for m in strong if m.endswith("*") and len(endings.get(m, ())) >= 5}
-        self.strong = np.array([m in strong for m in best])
+        self.strong = np.array([m in strong for m in best], bool)
         x, counts = self.features(texts)
-        is_coded = np.array([m in coded for m in best])
-        is_named = np.array([m in strong and not m.endswith("*") and coded.isdisjoint(m[:k] + "*" for k in BEGINNINGS) for m in best])
+        is_coded = np.array([m in coded for m in best], bool)
+        is_named = np.array([m in strong and not m.endswith("*") and coded.isdisjoint(m[:k] + "*" for k in BEGINNINGS) for m in best], bool)
         rate = counts[:, self.strong].sum(1) / np.maximum(1, [len(t.split()) for t in texts])
         middle = np.median(rate[y == 1]) if n[1] else 0
         goals = [y * (x[:, : len(best)][:, is_named].sum(1) > 0), y * (x[:, : len(best)][:, is_coded].sum(1) > 0), y * (rate > middle), y]
@@ -115,7 +116,7 @@ class Chain:
             x = np.column_stack([x, inner])
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Presence of the terms with the number of different strong terms, and the terms' counts."""
+        """Logarithmic counts of the terms and of the number of different strong ones, and the terms' counts."""
         counts = np.zeros((len(texts), len(self.index)), np.float32)
         seen, get = self.seen, self.index.get
         if len(seen) > CACHED:
@@ -129,8 +130,8 @@ class Chain:
                     counts[i, j] += 1
             for c in [c for c in set(chunks) if len(c) > 256]:
                 seen.pop(c, None)
-        x = (counts > 0).astype(np.float32)
-        return np.column_stack([x, np.log1p(x[:, self.strong].sum(1))]), counts
+        x = np.log1p(counts)
+        return np.column_stack([x, np.log1p((counts[:, self.strong] > 0).sum(1))]), counts
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """A column of probabilities for each link, the chain's order."""
