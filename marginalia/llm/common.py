@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from marginalia.session import ship
 
 #: Most rows that a side may hold to be broadcast; every use counts the side first and has another way beyond it.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch.
+BATCH = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,14 +28,46 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared scratch folder and read again: lineage is cut and a lost executor costs a read."""
-    ship(df.sparkSession)
+    prepared(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark drops the shuffle files of finished steps when the driver's JVM collects its garbage, which a small driver seldom does by itself.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_state: dict = {}
+
+
+def process_state(name: str, make):
+    """What an operator keeps in a Python worker between tasks. A worker holds the state of one operator at a time, so that the stages of a
+    pipeline don't add up."""
+    if name not in _state:
+        _state.clear()
+        gc.collect()
+        _state[name] = make()
+    return _state[name]
+
+
+def prepared(spark: SparkSession) -> None:
+    """Ship the package, and send texts to Python in batches of BATCH rows unless the session asks for another size: some texts are very long."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,13 +76,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 2000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 2000, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, whose ``key`` is unique.
 
     A key with more than 1/``share`` of the left rows is hot. There are fewer than ``share`` of those, so their right rows are broadcast; all
-    other keys are joined by a shuffle. Both parts together are the whole join.
+    other keys are joined by a shuffle. Both parts together are the whole join. ``counts``: (key, _n) where the rows of each key are counted
+    already.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = left.count()
     hot = [r[key] for r in counts.filter(F.col("_n") > max(1000, total // share)).select(key).collect()]
     hot = [k for k in hot if k is not None]

@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BROADCAST_ROWS, saved, table, text_of
+from marginalia.llm.common import BROADCAST_ROWS, process_state, saved, table, text_of
 from marginalia.llm.word_bpe import WordBPE, default_path, slices
 
 LENGTH, END_ID, MAX_QUEUES = 4096, 2, 256
+#: Chunks of text whose ids a Python worker keeps; ROOM_BESIDE where other operators share the worker's memory.
+ROOM, ROOM_BESIDE = 700_000, 250_000
 #: Tokens of one round of the queues.
 WINDOW = 64 * LENGTH
 
@@ -150,10 +151,10 @@ def cut(sched: Schedule, queue: str, first: int, n: int, length: int = LENGTH) -
 class LibraryWords(WordBPE):
     """Ids by the tokenizers library: chunks between white space that were not met yet are encoded by the library in one call."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int):
         from tokenizers import Tokenizer
 
-        super().__init__(path)
+        super().__init__(path, room)
         self._tokenizer = Tokenizer.from_file(path)
 
     def _learned(self, keys: list[str]) -> Iterator[list[int]]:
@@ -177,19 +178,18 @@ class LibraryWords(WordBPE):
                 at = stop
 
 
-@lru_cache(maxsize=2)
-def by_library(path: str) -> LibraryWords:
-    return LibraryWords(path)
+def by_library(path: str, room: int = ROOM) -> LibraryWords:
+    return process_state(f"ids {path} {room}", lambda: LibraryWords(path, room))
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, room: int = ROOM) -> DataFrame:
     """Rows part, doc_id, queue, n, before (the queue's tokens of this part ahead of the row), ids (16 bits each where the vocabulary allows)."""
     few = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
     named = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
     queue = named if few else F.concat(F.lit("h:"), F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, sent = by_library(path), TaskContext.get().partitionId(), {}
+        bpe, part, sent = by_library(path, room), TaskContext.get().partitionId(), {}
         for batch in batches:
             ids, n, before = [], [], []
             queues = batch.column(2).to_pylist()
@@ -205,14 +205,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), queue.alias("queue")).mapInArrow(run, "part int, doc_id long, queue string, n long, before long, ids binary")
 
 
-def pack(docs: DataFrame, path: str | None = None, targets: dict[str, int] | None = None, length: int = LENGTH, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, targets: dict[str, int] | None = None, length: int = LENGTH, window: int = WINDOW, keep_ids: bool = False, room: int = ROOM) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and with ``keep_ids`` the ids (32 bits each).
 
     ``targets`` maps a source to a whole-number weight. The tokenized table is written once to the shared scratch folder, so every task that
     is repeated after a loss sees the same parts and places.
     """
     path = path or default_path()
-    rows = saved(tokenized(docs, path), "tokenized")
+    rows = saved(tokenized(docs, path, room=room), "tokenized")
     sums = saved(rows.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
     sched = schedule(totals, {f"s:{k}": v for k, v in targets.items()} if targets else None, window)
@@ -243,4 +243,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, room=ROOM_BESIDE)

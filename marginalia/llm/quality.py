@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import table, text_of
+from marginalia.llm.common import process_state, table, text_of
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, BLOCK = 5000, 64, 15, 256
 POWER, THRESHOLD = 4.0, 0.3
@@ -28,9 +28,8 @@ POWER, THRESHOLD = 4.0, 0.3
 STAT = 1.5
 WORDS, SHAPES, STATS = 2048, 256, 96
 WIDTH = WORDS + SHAPES + STATS
-CACHED = 300_000
+CACHED = 150_000
 
-_chunks: dict[str, int] = {}
 _edge = re.compile(r"[^\w]+$")
 _letters = re.compile(r"[^\W\d_]")
 
@@ -46,15 +45,17 @@ def _code(chunk: str) -> int:
 
 
 def codes(chunks: list[str]) -> np.ndarray:
-    if len(_chunks) > CACHED:
-        _chunks.clear()
-    out = list(map(_chunks.get, chunks))
+    known = process_state("quality", dict)
+    if len(known) > CACHED:
+        known.clear()
+    out = list(map(known.get, chunks))
     if None in out:
         for i, c in enumerate(out):
             if c is None:
-                out[i] = code = _chunks.get(chunks[i]) or _code(chunks[i])
+                code = known.get(chunks[i])
+                out[i] = code = _code(chunks[i]) if code is None else code
                 if len(chunks[i]) <= 256:
-                    _chunks[chunks[i]] = code
+                    known[chunks[i]] = code
     return np.array(out, np.int64)
 
 

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import table, text_of
+from marginalia.llm.common import process_state, table, text_of
 
 RULES = ("start", "majority", "share")
 #: Longer runs without white space go to the library that merges them in n log n.
@@ -85,9 +84,8 @@ class Encoder:
         return [end[i] - i for i in range(n) if alive[i]]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return process_state(f"tokens {path}", lambda: Encoder(path))
 
 
 def char_starts(text: str, sizes: np.ndarray) -> np.ndarray:

@@ -15,7 +15,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import table, text_of
+from marginalia.llm.common import process_state, table, text_of
 
 END = "</w>"
 NEVER = (1 << 60, -1)
 #: Code points below this are stable under NFC and are handled without the library's normaliser, except U+0130.
 PLAIN = 0x250
-#: Chunks between white space that a process keeps, and those beyond it that it keeps for a while.
-CACHED_WORDS = 800_000
-YOUNG_WORDS = 200_000
+#: Chunks between white space that a process keeps; beyond them it keeps a fifth as many for a while.
+CACHED_WORDS = 700_000
 CACHED_IDS = 1 << 24
 
 
@@ -110,7 +108,8 @@ class Ragged:
 
 
 class WordBPE:
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int | None = None):
+        self.room = room or CACHED_WORDS
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -298,12 +297,12 @@ class WordBPE:
             tokens = self.token_bytes
             self.said.add([b"".join([tokens[t] for t in own]) for own in got])
         self.order += new
-        if self.base is None and (len(self.order) >= CACHED_WORDS or self.ids.end > CACHED_IDS):
+        if self.base is None and (len(self.order) >= self.room or self.ids.end > CACHED_IDS):
             self.base = len(self.order)
 
     def _shed(self) -> None:
         """Forget the chunks that came after the tables were full."""
-        if self.base is not None and (len(self.order) - self.base > YOUNG_WORDS or self.ids.end - self.ids.start[self.base] > CACHED_IDS):
+        if self.base is not None and (len(self.order) - self.base > self.room // 5 or self.ids.end - self.ids.start[self.base] > CACHED_IDS):
             for k in self.order[self.base :]:
                 del self.index[k]
             del self.order[self.base :]
@@ -386,10 +385,9 @@ def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBPE:
     """One encoder for each process and file."""
-    return WordBPE(path)
+    return process_state(f"bpe {path}", lambda: WordBPE(path))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -60,10 +60,8 @@ def test_pairs_by_exact_merging():
         assert (own._merge(word.removesuffix("</w>"), word.endswith("</w>")) == [a, b]) == ok
 
 
-def test_full_tables_forget(library, monkeypatch):
-    monkeypatch.setattr(word_bpe, "CACHED_WORDS", 5)
-    monkeypatch.setattr(word_bpe, "YOUNG_WORDS", 5)
-    own, other = word_bpe.WordBPE(word_bpe.default_path()), packing.LibraryWords(word_bpe.default_path())
+def test_full_tables_forget(library):
+    own, other = word_bpe.WordBPE(word_bpe.default_path(), 5), packing.LibraryWords(word_bpe.default_path(), 5)
     for k in range(6):
         texts = [f"some words {i} and more{i * k} ünï{i}" for i in range(9)]
         for t, (ids, _), raw in zip(texts, own.encode_decode_many(texts), other.encode_many(texts), strict=True):
