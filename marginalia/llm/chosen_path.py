@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import components, join_hot, saved, table, text_of, without
-from marginalia.llm.shingles import mix, shingle_set
+from marginalia.llm.shingles import mix, shingle_sets
 
-THRESHOLD, RUNS, BRANCH, SPLIT, DEPTH = 0.8, 12, 1.5, 2.5, 3
+THRESHOLD, RUNS, BRANCH, SPLIT, DEPTH = 0.8, 12, 1.5, 2.5, 2
 POOL, SMALL, BLOCK = 64, 192, 512
 #: Share of the expected common tokens of two pools at the threshold that a pair must have to be compared in full.
 SIEVE = 0.4
@@ -69,8 +69,7 @@ def described(docs: DataFrame, runs: int = RUNS, branch: float = BRANCH, pool_si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column(1):
-                s = shingle_set(text.as_py())
+            for s in shingle_sets(batch.column(1).to_pylist()):
                 for o, v in zip(out, (signature(s), len(s), longs(chosen(s, runs, branch)), longs(pool(s, pool_size))) if len(s) else (None, 0, [], []), strict=True):
                     o.append(v)
             lists = pa.list_(pa.int64())
@@ -84,7 +83,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
+            sets = shingle_sets(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "tokens"])
 
     return docs.select(text_of().alias("text")).mapInArrow(run, "sig binary, tokens binary").filter("sig is not null")
@@ -132,14 +131,13 @@ def incidence(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shared_counts(lists: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
-    """Sizes of the intersections of all members; wide matrices are multiplied in strips of tokens."""
-    total = sum(map(len, lists))
-    if total <= 1 << 22:
+def shared_counts(lists: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
+    """Sizes of the intersections of all members; the tokens are taken in strips, so that no matrix has many more than ``cells`` cells."""
+    strips = 1 + len(lists) * sum(map(len, lists)) // cells
+    if strips == 1:
         x = incidence(lists)
         return x @ x.T
     out = np.zeros((len(lists), len(lists)), np.float32)
-    strips = max(2, total // (1 << 21))
     for k in range(strips):
         x = incidence([t[(t % _U(strips)) == _U(k)] for t in lists])
         out += x @ x.T

@@ -10,6 +10,8 @@ import numpy as np
 
 SIZE = 5
 PIECE = 4 << 20
+#: Bytes of short texts that are gone through at once.
+RUN = 1 << 15
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _kinds = np.zeros(256, np.uint8)
@@ -63,6 +65,30 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[ends] - total[begins]) * _powers[1][begins] + (ends - begins).astype(_U)), begins, ends
 
 
+def words_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of each text; short texts are gone through together."""
+    out: list = []
+    run, size = [], 0
+
+    def flush() -> None:
+        h, b, e = words(b"\n".join(run))
+        starts = np.cumsum([0] + [len(r) + 1 for r in run])
+        cuts = np.searchsorted(b, starts)
+        for i in range(len(run)):
+            own = slice(cuts[i], cuts[i + 1])
+            out.append((h[own], b[own] - starts[i], e[own] - starts[i]))
+
+    for raw in (t.encode("utf-8") for t in texts):
+        run.append(raw)
+        size += len(raw)
+        if size > RUN:
+            flush()
+            run, size = [], 0
+    if run:
+        flush()
+    return out
+
+
 def shingles(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Hashes of all runs of ``size`` words in order of place."""
     n = len(hashes)
@@ -78,3 +104,7 @@ def shingles(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
 def shingle_set(text: str, size: int = SIZE) -> np.ndarray:
     """The different shingles of a text, sorted."""
     return np.unique(shingles(words(text.encode("utf-8"))[0], size))
+
+
+def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
+    return [np.unique(shingles(w[0], size)) for w in words_of(texts)]
