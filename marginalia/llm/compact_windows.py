@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.chosen_path import groups, shared_counts, signature
-from marginalia.llm.common import BROADCAST_ROWS, join_hot, saved, table, text_of
-from marginalia.llm.shingles import SIZE, mix, shingles, words
+from marginalia.llm.common import BROADCAST_ROWS, discard, join_hot, saved, table, text_of, without
+from marginalia.llm.shingles import SIZE, mix, shingles, words, words_of
 
-WORDS, HASHES, THRESHOLD, BLOCK = 50, 4, 0.8, 512
+WORDS, HASHES, THRESHOLD, BLOCK = 50, 3, 0.8, 512
+#: Members of a band from which on it is split before its members are compared.
+LARGE = 64
 LEAST = WORDS - SIZE + 1
 HALF = LEAST // 2
 LAST = (1 << 63) - 1
@@ -40,74 +42,90 @@ _U = np.uint64
 _KEYS = mix(np.arange(1, 33, dtype=_U) * _U(0xE7037ED1A0B428DB))
 
 
-def windows(values: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+def windows(values: np.ndarray, ties: bool, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Compact windows (left, centre, right) of at least ``least`` places. Of equal minima the one nearest the middle is the centre, so that
-    texts of few different words keep a flat tree."""
-    ties = len(np.unique(values)) < len(values)
+    texts of few different words keep a flat tree; ``ties`` tells whether values repeat."""
     out, stack = [], [(0, len(values))]
     while stack:
         a, z = stack.pop()
-        if z - a < least:
-            continue
         part = values[a:z]
         i = int(part.argmin())
         if ties:
             same = np.flatnonzero(part == part[i])
             i = int(same[np.abs(same - (z - a) // 2).argmin()])
-        out.append((a, a + i, z - 1))
-        stack += [(a, a + i), (a + i + 1, z)]
+        c = a + i
+        out.append((a, c, z - 1))
+        if i >= least:
+            stack.append((a, c))
+        if z - c > least:
+            stack.append((c + 1, z))
     return out
 
 
-def contexts(tokens: np.ndarray, half: int = HALF) -> np.ndarray:
-    """At each place a hash of two min-hashes of the ``half`` shingles that begin there, as far as the text goes."""
-    both = []
-    for k in _KEYS[-2:]:
-        g = np.concatenate([mix(tokens ^ k), np.full(half - 1, ~_U(0), _U)])
-        both.append(np.lib.stride_tricks.sliding_window_view(g, half).min(1))
-    return mix(both[0] + mix(both[1]))
+def contexts(tokens: np.ndarray, keys: np.ndarray = _KEYS[-3:], half: int = HALF) -> np.ndarray:
+    """At each place a hash of min-hashes (by default three) of the ``half`` shingles that begin there, as far as the text goes. The minimum of a run is that of
+    two runs of half its length."""
+    out = np.zeros(len(tokens), _U)
+    for k in keys:
+        g, size = np.concatenate([mix(tokens ^ k), np.full(half - 1, ~_U(0), _U)]), 1
+        while size < half:
+            step = min(size, half - size)
+            g = np.minimum(g[:-step], g[step:])
+            size += step
+        out = mix(out + g)
+    return out
 
 
 def described(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Per row: doc_id, sig (of the word sequence), n_words, n_chars, and windows: array of struct(key, l, c, r, to_right, to_left)."""
-    kinds = [("key", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()), ("to_right", pa.int32()), ("to_left", pa.int32())]
+    """Per row: doc_id, sig (of the word sequence), n_words, n_chars, and windows: array of struct(key, span, near). A span packs the centre and
+    the distances of both ends from it, near packs the keys of the centre's right and left side."""
+    kinds = [("key", pa.int64()), ("span", pa.int64()), ("near", pa.int64())]
 
-    def of(text: str) -> tuple:
-        w = words(text.encode("utf-8"))[0]
-        sig = signature(mix(w + mix(np.arange(len(w), dtype=_U))))
-        s = shingles(w)
+    def of(w: np.ndarray) -> list[np.ndarray]:
         if len(w) < WORDS:
-            return sig, len(w), [np.zeros(0, k.to_pandas_dtype()) for _, k in kinds], len(text)
+            return [np.zeros(0, np.int64)] * 3
+        s = shingles(w)
+        ties = len(set(s.tolist())) < len(s)
         right = contexts(s)
         left = right[np.maximum(0, np.arange(len(s)) - HALF + 1)]
         rows, keys = [], []
         for at in range(0, max(1, len(s) - OVERLAP), PIECE - OVERLAP):
             part = s[at : at + PIECE]
             for k in _KEYS[:hashes]:
-                own = np.array(windows(mix(part ^ k)), np.int64).reshape(-1, 3) + at
+                own = np.array(windows(mix(part ^ k), ties), np.int64) + at
                 rows.append(own)
                 keys.append(mix(s[own[:, 1]] + k))
         lcr, key = np.concatenate(rows), np.concatenate(keys)
         c = lcr[:, 1]
-        return sig, len(w), [key.view(np.int64), *(lcr[:, i].astype(np.int32) for i in range(3)), right[c].astype(np.uint32).view(np.int32), left[c].astype(np.uint32).view(np.int32)], len(text)
+        span = c << 28 | (c - lcr[:, 0]) << 14 | lcr[:, 2] - c
+        # A side that the text ends on cannot be the long one of a passage, and gets no key.
+        one = np.where(c + HALF <= len(s), right[c] >> _U(32) | _U(1), _U(0))
+        two = np.where(c >= HALF - 1, left[c] >> _U(32) | _U(1), _U(0))
+        return [key.view(np.int64), span, (one << _U(32) | two).view(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [of(t.as_py()) for t in batch.column(1)]
-            sizes = np.concatenate(([0], np.cumsum([len(g[2][0]) for g in got]))).astype(np.int32)
-            fields = [pa.array(np.concatenate([g[2][i] for g in got]) if got else [], kind) for i, (_, kind) in enumerate(kinds)]
+            texts = batch.column(1).to_pylist()
+            all_words = [w[0] for w in words_of(texts)]
+            got = [of(w) for w in all_words]
+            sizes = np.concatenate(([0], np.cumsum([len(g[0]) for g in got]))).astype(np.int32)
+            fields = [pa.array(np.concatenate([g[i] for g in got]) if got else [], kind) for i, (_, kind) in enumerate(kinds)]
             found = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(fields, names=[n for n, _ in kinds]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32()), found], names=["doc_id", "sig", "n_words", "n_chars", "windows"])
+            sigs = [sequence_signature(w) for w in all_words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array([len(w) for w in all_words], pa.int32()), pa.array(list(map(len, texts)), pa.int32()), found], names=["doc_id", "sig", "n_words", "n_chars", "windows"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, sig binary, n_words int, n_chars int, windows array<struct<key long, l int, c int, r int, to_right int, to_left int>>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, sig binary, n_words int, n_chars int, windows array<struct<key long, span long, near long>>")
 
 
-def text_signature(text: str) -> bytes:
-    """128 bits of the sequence of words."""
-    w = words(text.encode("utf-8"))[0]
+def sequence_signature(w: np.ndarray) -> bytes:
+    """128 bits of a sequence of words."""
     return signature(mix(w + mix(np.arange(len(w), dtype=_U))))
 
 
+def text_signature(text: str) -> bytes:
+    return sequence_signature(words(text.encode("utf-8"))[0])
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(uid, text) of the wanted units (doc_id, uid)."""
     few = wanted.count() <= BROADCAST_ROWS
@@ -117,7 +135,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = [text_signature(t.as_py()) for t in batch.column(1)]
+            sigs = [sequence_signature(w[0]) for w in words_of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), batch.column(1)], names=["doc_id", "sig", "text"])
 
     named = own.mapInArrow(run, "doc_id long, sig binary, text string").select(F.xxhash64("doc_id", "sig").alias("uid"), "text")
@@ -125,12 +143,25 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(F.broadcast(units) if few else units, "uid", "left_semi")
 
 
-def passages(own: str, other: str, region: tuple[int, int], other_region: tuple[int, int], threshold: float = THRESHOLD) -> list[tuple]:
+class Prepared:
+    """A text with its words and shingles, and the shingles in order of value."""
+
+    def __init__(self, text: str):
+        self.raw = text.encode("utf-8")
+        self.words, self.begins, self.ends = words(self.raw)
+        self.shingles = shingles(self.words)
+        self.chars = None
+
+    def char(self, byte: int) -> int:
+        if self.chars is None:
+            self.chars = np.concatenate(([0], np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80)))
+        return int(self.chars[byte])
+
+
+def passages(own: Prepared, other: Prepared, region: tuple[int, int], other_region: tuple[int, int], threshold: float = THRESHOLD) -> list[tuple]:
     """Passages of ``own`` that repeat one of ``other`` within the regions of shingles: (start, end, first, last, words, similarity), the first
     two in characters, the next in shingles."""
-    raw = own.encode("utf-8")
-    w, begins, ends = words(raw)
-    s, p = shingles(w), shingles(words(other.encode("utf-8"))[0])
+    s, p = own.shingles, other.shingles
     a, z = max(0, region[0]), min(len(s), region[1] + 1)
     pa_, pz = max(0, other_region[0]), min(len(p), other_region[1] + 1)
     x, y = s[a:z], p[pa_:pz]
@@ -148,9 +179,8 @@ def passages(own: str, other: str, region: tuple[int, int], other_region: tuple[
         if alike >= threshold:
             done.append((i, j))
             first, last = a + i, a + j - 1
-            stop = min(len(w), last + SIZE) - 1
-            start, end = (len(raw[: int(b)].decode("utf-8")) for b in (begins[first], ends[stop]))
-            out.append((start, end, first, last, stop - first + 1, float(alike)))
+            stop = min(len(own.words), last + SIZE) - 1
+            out.append((own.char(own.begins[first]), own.char(own.ends[stop]), first, last, stop - first + 1, float(alike)))
     return out
 
 
@@ -167,27 +197,30 @@ def likeness(x: np.ndarray, y: np.ndarray, place: np.ndarray, hit: np.ndarray, i
     return both / (len(one) + len(two) - both)
 
 
-def runs(hit: np.ndarray, cost: int = 8) -> list[tuple[int, int]]:
-    """Maximal stretches from a shared shingle to a shared one in which misses cost ``cost`` hits: a stretch ends where the hits since its best
-    end don't make up for the misses, and is trimmed to its best end."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    out: list[tuple[int, int]] = []
-    start = best_end = None
-    score = best = 0
-    for i, j in edges.reshape(-1, 2).tolist():
-        if start is not None:
-            score -= cost * (i - previous)
-            if score <= 0 or best - score > cost * SIZE * 2:
-                out.append((start, best_end))
-                start = None
-        if start is None:
-            start, score, best, best_end = i, 0, 0, j
-        score += j - i
-        if score >= best:
-            best, best_end = score, j
-        previous = j
-    if start is not None:
-        out.append((start, best_end))
+def runs(hit: np.ndarray, cost: int = 8, gap: int = 2 * SIZE) -> list[tuple[int, int]]:
+    """Stretches from a shared shingle to a shared one, as long as they can be with at least ``cost`` shared ones for each miss and at most ``gap``
+    misses in a row, longest first within each part between longer gaps."""
+    place = np.flatnonzero(hit)
+    if not len(place):
+        return []
+    out = []
+    breaks = np.flatnonzero(np.diff(place) > gap + 1)
+    stack = [(int(place[i]), int(place[j]) + 1) for i, j in zip(np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(place) - 1])), strict=True)]
+    while stack:
+        a, z = stack.pop()
+        if z - a < LEAST:
+            continue
+        total = np.concatenate(([0], np.cumsum(np.where(hit[a:z], 1, -cost))))
+        # For each begin the last end whose sum is not below it: the largest sum from there on falls with the end.
+        best_after = np.maximum.accumulate(total[::-1])
+        end = len(total) - 1 - np.searchsorted(best_after, total, "left")
+        i = int(np.argmax(end - np.arange(len(total))))
+        inside = np.flatnonzero(hit[a + i : a + int(end[i])])
+        if not len(inside):
+            continue
+        first, last = a + i + int(inside[0]), a + i + int(inside[-1]) + 1
+        out.append((first, last))
+        stack += [(a, first), (last, z)]
     return out
 
 
@@ -197,10 +230,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = join_hot(pairs, lead_text, "lead", "inner").join(texts, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared: dict[int, Prepared] = {}
+
+        def of(uid: int, text: pa.Scalar) -> Prepared:
+            got = prepared.pop(uid, None) or Prepared(text.as_py())
+            prepared[uid] = got  # the last used comes last
+            while len(prepared) > 2 and sum(len(p.raw) for p in prepared.values()) > 1 << 22:
+                del prepared[next(iter(prepared))]
+            return got
+
         for batch in batches:
             out = []
-            for uid, lead, l, r, ll, lr, mine, other in zip(*batch.columns, strict=True):  # noqa: E741
-                out += [(uid.as_py(), lead.as_py(), *found) for found in passages(mine.as_py(), other.as_py(), (l.as_py(), r.as_py()), (ll.as_py(), lr.as_py()))]
+            for uid, lead, l, r, ll, lr, mine, other in zip(*(c.to_pylist() for c in batch.columns[:6]), *batch.columns[6:], strict=True):  # noqa: E741
+                out += [(uid, lead, *found) for found in passages(of(uid, mine), of(lead, other), (l, r), (ll, lr))]
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64()]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["uid", "lead", "start", "end", "first", "last", "words", "similarity"])
@@ -208,40 +250,57 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("uid", "lead", "l", "r", "lead_l", "lead_r", "text", "lead_text").mapInArrow(run, "uid long, lead long, start int, end int, first int, last int, words int, similarity double")
 
 
-def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Members (band, uid, doc_id, c) that no leader explained, with the earlier member of their band whose shingles around the centre are most
-    alike, if half of LEAST are the same. Bands of more than ``block`` members are compared block against block."""
+def nearest(rows: DataFrame, texts: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
+    """For members (band, side, uid, doc, c) that no leader explained, the earlier member of their band whose shingles around the centre are most
+    alike, if half of LEAST are the same: (uid, lead, l, r, lead_l, lead_r).
+
+    Bands of more than ``large`` members are split by further min-hashes of the same side, which an exact repetition shares; what is left is
+    compared block against block. Each text is read once for all its members.
+    """
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    kept = rows.join(sizes, "band").join(texts, "uid")
+    per_text = rows.join(sizes.select("band"), "band").groupBy("uid").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("band", "side", "c")).alias("at")).join(texts, "uid")
+    kinds = [("band", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("more", pa.int64()), ("near", pa.binary())]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for c, t in zip(batch.column(3).to_pylist(), batch.column(5), strict=True):
-                s = shingles(words(t.as_py().encode("utf-8"))[0])
-                near.append(np.unique(s[max(0, c - LEAST) : c + LEAST]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.binary())], names=["band", "uid", "doc_id", "c", "m", "near"])
-
-    near = kept.select("band", "uid", "doc_id", "c", "m", "text").mapInArrow(around, "band long, uid long, doc_id long, c int, m long, near binary")
+            out: list[tuple] = []
+            for uid, doc, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingles(words(text.encode("utf-8"))[0])
+                more = contexts(s, _KEYS[-6:-3]).view(np.int64)
+                seen: dict[int, bytes] = {}
+                for x in at:
+                    c = x["c"]
+                    if c not in seen:
+                        seen[c] = np.unique(s[max(0, c - LEAST) : c + LEAST]).tobytes()
+                    out.append((x["band"], uid, doc, c, int(more[c if x["side"] == 1 else max(0, c - HALF + 1)]), seen[c]))
+                if len(out) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+    near = saved(per_text.select("uid", "doc", "at", "text").mapInArrow(around, "band long, uid long, doc long, c int, more long, near binary"), "near")
+    wide = near.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > large).select("band", F.lit(True).alias("wide"))
+    parts = near.join(wide, "band", "left").withColumn("band", F.when(F.col("wide"), F.xxhash64("band", "more")).otherwise(F.col("band")))
+    sizes = parts.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     nb = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("uid"), nb).cast("int")
-    dealt = near.withColumn("nb", nb).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "doc_id", "c", "near")
+    dealt = parts.join(sizes, "band").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "doc", "c", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch_of in _chunks(groups(batches)):
             out = []
             for _, members in batch_of:
-                members.sort(key=lambda m: (LAST if m[1] is None else m[1], m[0], m[2]))
-                uid, doc, c, lists = zip(*members, strict=True)
+                members.sort(key=lambda m: (m[1], m[0], m[2]))
+                uid, _, c, lists = zip(*members, strict=True)
                 common = np.tril(shared_counts([np.frombuffer(x, _U) for x in lists]), -1)
                 common[np.array(uid)[:, None] == np.array(uid)[None, :]] = 0
                 best = common.argmax(1)
-                out += [(uid[k], uid[b], c[k] - LEAST, c[k] + LEAST, c[b] - LEAST, c[b] + LEAST, int(common[k, b])) for k, b in enumerate(best.tolist()) if common[k, b] >= HALF]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 5, strict=True)], names=["uid", "lead", "l", "r", "lead_l", "lead_r", "common"])
+                out += [(uid[k], uid[b], c[k] - LEAST, c[k] + LEAST, c[b] - LEAST, c[b] + LEAST) for k, b in enumerate(best.tolist()) if common[k, b] >= HALF]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["uid", "lead", "l", "r", "lead_l", "lead_r"])
 
-    found = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "uid long, lead long, l int, r int, lead_l int, lead_r int, common int")
+    found = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "uid long, lead long, l int, r int, lead_l int, lead_r int")
     # A wider look around the two centres, so that long passages are found whole.
     wide = [F.min("l").alias("l"), F.max("r").alias("r"), F.min("lead_l").alias("lead_l"), F.max("lead_r").alias("lead_r")]
     return found.groupBy("uid", "lead").agg(*wide).select("uid", "lead", *((F.col(x) + s * 4 * LEAST).alias(x) for x, s in (("l", -1), ("r", 1), ("lead_l", -1), ("lead_r", 1))))
@@ -265,17 +324,30 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     id_or_last = F.coalesce("doc_id", F.lit(LAST))
     whole = rows.filter(F.col("n_words") >= WORDS)
     classes = saved(whole.groupBy("sig").agg(F.min(id_or_last).alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    unit = F.xxhash64(F.when(F.col("first_id") < LAST, F.col("first_id")), "sig").alias("uid")
-    lead_rows = join_hot(whole.select("doc_id", "sig", "windows"), classes, "sig", "inner").filter(id_or_last == F.col("first_id"))
-    units = classes.select(F.when(F.col("first_id") < LAST, F.col("first_id")).alias("doc_id"), unit, "sig")
-    spread = lead_rows.select("doc_id", unit, F.explode("windows").alias("w")).select("doc_id", "uid", "w.*")
+    several = classes.filter("copies > 1")
+    named = F.when(F.col("first_id") < LAST, F.col("first_id"))
+    units = classes.select(named.alias("doc_id"), F.xxhash64(named, "sig").alias("uid"), "sig")
+    # Copies are told apart by a join of ids alone; the windows of the others stay where they are.
+    copies = saved(join_hot(whole.select("doc_id", "sig", "n_words", "n_chars"), several, "sig", "inner").filter(id_or_last > F.col("first_id")), "copies")
+    keyed = whole.select("doc_id", "sig", F.xxhash64("doc_id", "sig").alias("uid"), "windows")
+    leads = without(keyed, copies.select(F.xxhash64("doc_id", "sig").alias("uid")).distinct(), "uid")
+    spread = leads.select("uid", F.explode("windows").alias("w")).select("uid", "w.*")
     again = spread.groupBy("key").agg(F.min("uid").alias("u1"), F.max("uid").alias("u2")).filter("u1 <> u2").select("key")
     shared = saved(spread.join(again, "key"), "shared")
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("to_right").alias("near")), F.struct(F.lit(2).alias("side"), F.col("to_left").alias("near")))).alias("x")
-    banded = shared.select("doc_id", "uid", "key", "l", "c", "r", sides).select(F.xxhash64("key", "x.side", "x.near").alias("band"), "doc_id", "uid", "l", "c", "r")
-    lead = F.min(F.struct(id_or_last.alias("lead_id"), F.col("uid").alias("lead"), F.col("c").alias("lead_c"), F.col("l").alias("lead_l"), F.col("r").alias("lead_r"))).alias("x")
-    leaders = banded.groupBy("band").agg(lead, F.max("uid").alias("u2"), F.min("uid").alias("u1")).filter("u1 <> u2").select("band", "x.*")
-    met = saved(banded.join(leaders, "band").filter("uid <> lead"), "met")
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("near", 32).alias("near")), F.struct(F.lit(2).alias("side"), F.col("near").bitwiseAND(0xFFFFFFFF).alias("near")))).alias("x")
+    banded = shared.select("uid", "key", "span", sides).filter("x.near <> 0").select(F.xxhash64("key", "x.side", "x.near").alias("band"), "x.side", "uid", "span")
+    # The smallest document leads, so bands need the documents' order.
+    order = units.select("uid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
+    banded = saved(banded.join(order.join(shared.select("uid").distinct(), "uid", "left_semi"), "uid"), "banded")
+    discard(rows, shared)
+    lead = F.min(F.struct("doc", F.col("uid").alias("lead"), F.col("span").alias("lead_span"))).alias("x")
+    leaders = banded.groupBy("band").agg(lead, F.max("uid").alias("u2"), F.min("uid").alias("u1")).filter("u1 <> u2").select("band", "x.lead", "x.lead_span")
+    centre = lambda c: F.shiftright(c, 28)
+    left = lambda c: (centre(c) - F.shiftright(c, 14).bitwiseAND(0x3FFF)).cast("int")
+    right = lambda c: (centre(c) + F.col(c).bitwiseAND(0x3FFF)).cast("int")
+    ends = [left("span").alias("l"), centre("span").cast("int").alias("c"), right("span").alias("r"), left("lead_span").alias("lead_l"), right("lead_span").alias("lead_r")]
+    met = saved(banded.join(leaders, "band").filter("uid <> lead").select("band", "side", "uid", "doc", "lead", *ends), "met")
+    discard(banded)
     # Interval join: the windows that a text and a leader share over all hash functions and keys, as one pair of regions.
     regions = met.groupBy("uid", "lead").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("lead_l").alias("lead_l"), F.max("lead_r").alias("lead_r"))
     regions = saved(regions, "regions")
@@ -283,13 +355,12 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     texts = saved(texts_of(docs, units.join(needed, "uid", "left_semi")), "texts")
     first = saved(verified(regions, texts), "first")
     covered = first.select("uid", "first", "last")
-    rest = met.select("band", "uid", "doc_id", "c").join(covered, (met["uid"] == covered["uid"]) & F.col("c").between(F.col("first"), F.col("last")), "left_anti").distinct()
+    rest = met.select("band", "side", "uid", "doc", "c").join(covered, (met["uid"] == covered["uid"]) & F.col("c").between(F.col("first"), F.col("last")), "left_anti").distinct()
     second = verified(saved(nearest(rest, texts), "nearest"), texts)
     every = first.unionByName(second)
     names = units.select(F.col("uid").alias("lead"), F.col("doc_id").alias("source_doc_id"))
-    named = every.join(units, "uid").join(names, "lead").select("doc_id", "uid", "sig", "start", "end", F.col("words").alias("n_words"), "source_doc_id", "similarity")
-    found = saved(merged(named), "passages")
-    copies = join_hot(whole.select("doc_id", "sig", "n_words", "n_chars"), classes.filter("copies > 1"), "sig", "inner").filter(id_or_last > F.col("first_id"))
+    listed = every.join(units, "uid").join(names, "lead").select("doc_id", "uid", "sig", "start", "end", F.col("words").alias("n_words"), "source_doc_id", "similarity")
+    found = saved(merged(listed), "passages")
     return found.select("doc_id", "start", "end", "n_words", "source_doc_id", "similarity", F.lit(False).alias("whole"), "sig").unionByName(
         copies.select("doc_id", F.lit(0).alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("first_id").alias("source_doc_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("whole"), "sig")
     )
@@ -325,7 +396,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated passages, and n_chars to match where there is such a column. A document of which no word is left goes;
     documents without repeated passages stay as they are."""
     found = repeated_passages(docs)
-    spans = saved(found.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "_spans"), "spans")
+    spans = found.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
 
     @F.pandas_udf("binary")
     def sig_of(texts: pd.Series) -> pd.Series:
@@ -335,10 +406,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def without_spans(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, lists, strict=True)])
 
+    # Texts are found again by a built-in hash, so that no stage of Spark's runs two Python workers for a task.
+    keys = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), sig_of(text_of()).alias("sig")), "keys")
+    spans = keys.distinct().join(spans, keys["doc_id"].eqNullSafe(spans["doc_id"]) & (keys["sig"] == spans["sig"])).select(keys["doc_id"].alias("_own_id"), F.col("key").alias("_own_key"), "_spans")
+    spans = saved(spans, "spans")
     few = spans.count() <= BROADCAST_ROWS
-    held = docs.withColumn("_sig", sig_of(text_of())).withColumn("_id", F.col("doc_id").cast("long"))
-    spans = spans.select(F.col("_id").alias("_own_id"), F.col("_sig").alias("_own_sig"), "_spans")
-    joined = held.join(F.broadcast(spans) if few else spans, F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_sig") == F.col("_own_sig")), "left")
+    held = docs.withColumn("_key", F.xxhash64(text_of())).withColumn("_id", F.col("doc_id").cast("long"))
+    joined = held.join(F.broadcast(spans) if few else spans, F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_key") == F.col("_own_key")), "left")
     new = joined.withColumn("_new", without_spans(text_of(), F.col("_spans"))).filter(F.col("_spans").isNull() | F.col("_new").rlike("[A-Za-z0-9_\\x{80}-\\x{10FFFF}]"))
     changed = F.col("_spans").isNotNull()
     columns = [F.when(changed, F.col("_new")).otherwise(F.col(c)).alias(c) if c == "text" else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
