@@ -3,7 +3,7 @@
 Lines (trimmed, without case) that are equal are one line before anything else. A line's shingles are runs of characters: all runs of SHORT_WIDTH
 in lines of up to SHORT characters, runs of LONG_WIDTH that begin with a word in longer ones; lines of nearly that length have both kinds, so
 that similar lines always share one. The MinHash signature is the BOTTOM smallest hashes; each pair of them is a band, so two lines at the
-threshold of 0.8 miss each other with a probability of 0.7 %, at 0.9 of 0.05 %. The smallest line of a band leads; its members are verified
+threshold of 0.8 miss each other with a probability of 2.7 %, at 0.9 of 0.4 %. The smallest line of a band leads; its members are verified
 against it by the exact Jaccard similarity of the shingles, and members that fail are compared with each other in blocks within a row. The links
 go through distributed union-find, and the first line of each component stays.
 
@@ -18,29 +18,37 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import components, join_hot, saved, table, text_of
 
-THRESHOLD, BOTTOM = 0.8, 5
+THRESHOLD, BOTTOM = 0.8, 4
 SHORT, SHORT_WIDTH, LONG_WIDTH = 128, 8, 12
 #: Lines of SHORT to OVERLAP characters have both kinds of shingles.
 OVERLAP, BLOCK = 168, 32
+#: Words of the bitmap of lines to read again: 4 million bits, 65,536 rows to broadcast.
+SIEVE_WORDS = 1 << 16
 LAST = (1 << 63) - 1
 
 
 def shingled(line: str, kind: int) -> Column:
     """Hashes of the shingles of a kind: 0 all positions, 1 beginnings of words."""
-    pattern = f"(?s)(?=(.{{{SHORT_WIDTH}}}))" if kind == 0 else f"(?s)(?<![^ ])(?=(.{{{LONG_WIDTH}}}))"
-    found = F.transform(F.regexp_extract_all(F.col(line), F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(line)))
+    if kind == 0:  # a line shorter than a shingle is filled up to one
+        text, pattern = F.concat(F.col(line), F.repeat(F.lit(" "), F.lit(SHORT_WIDTH) - F.length(line))), f"(?s)(?=(.{{{SHORT_WIDTH}}}))"
+    else:
+        text, pattern = F.concat(F.lit(" "), F.col(line)), f"(?s) (?=(.{{{LONG_WIDTH}}}))"
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
 
 
 def has_kind(line: str, kind: int) -> Column:
     return F.length(line) <= OVERLAP if kind == 0 else F.length(line) > SHORT
 
 
-def signature(line: str, kind: int) -> Column:
-    """The smallest different hashes. More are taken before equal ones go; a line that repeats its smallest shingle more often is sorted whole."""
-    ordered = F.sort_array(shingled(line, kind))
-    few = F.slice(F.array_distinct(F.slice(ordered, 1, 8 * BOTTOM)), 1, BOTTOM)
-    return F.when(has_kind(line, kind), F.when(F.size(few) == BOTTOM, few).otherwise(F.slice(F.array_distinct(ordered), 1, BOTTOM)))
+def signed(lines: DataFrame) -> DataFrame:
+    """Lines with sig0 and sig1, the smallest different hashes of each kind that a line has. More than BOTTOM are taken before equal ones go; only
+    a line that repeats its smallest shingles often is gone through whole. Each step is a projection, so that no array is made twice."""
+    kinds = (0, 1)
+    keys = ("doc_id", "line_no", "oid")
+    found = lines.select(*keys, *(F.when(F.col("oid").isNotNull() & has_kind("line", k), shingled("line", k)).alias(f"h{k}") for k in kinds))
+    ordered = found.select(*keys, *(F.sort_array(f"h{k}").alias(f"h{k}") for k in kinds))
+    few = ordered.select(*keys, *(f"h{k}" for k in kinds), *(F.slice(F.array_distinct(F.slice(f"h{k}", 1, 8 * BOTTOM)), 1, BOTTOM).alias(f"f{k}") for k in kinds))
+    return few.select(*keys, *(F.when(F.size(f"f{k}") == BOTTOM, F.col(f"f{k}")).otherwise(F.slice(F.array_distinct(f"h{k}"), 1, BOTTOM)).alias(f"sig{k}") for k in kinds))
 
 
 def bands(sig: str, kind: int) -> Column:
@@ -53,8 +61,19 @@ def bands(sig: str, kind: int) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, oid) of the lines; oid, a 128-bit hash of the normalised line, is null for blank ones."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    norm = F.lower(F.trim(F.regexp_replace("line", r"[\t\r\x0b\x0c]", " ")))
-    return split.select("doc_id", "line_no", norm.alias("line")).withColumn("oid", F.when(F.length("line") > 0, F.unhex(F.md5(F.col("line").cast("binary")))))
+    norm = split.select("doc_id", "line_no", F.lower(F.trim("line", F.lit(" \t\r\x0b\x0c"))).alias("line"))
+    return norm.withColumn("oid", F.when(F.length("line") > 0, F.unhex(F.md5(F.col("line").cast("binary")))))
+
+
+def sieved(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines at the wanted places and a few more, by a bitmap of SIEVE_WORDS words of 64 bits at most, whatever the number of wanted lines."""
+    spread = F.xxhash64("oid", "doc", "line_no")
+    bit = F.pmod(spread, F.lit(64 * SIEVE_WORDS))
+    word, place = (bit / 64).cast("int"), F.pmod(spread, F.lit(64)).cast("int")
+    one = F.expr("shiftleft(1L, place)")
+    words = wanted.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    held = lines.withColumn("word", word).withColumn("place", place).join(F.broadcast(words), "word")
+    return held.filter("shiftrightunsigned(bits, place) & 1 = 1").drop("word", "place", "bits")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,29 +84,36 @@ def likeness(a: Column, b: Column) -> Column:
 def kept_lines(docs: DataFrame) -> DataFrame:
     """One row per line: doc_id, line_no (from 0), keep_doc_id, keep_line_no (first line of its component), kept."""
     lines = lines_of(docs)
-    signed = lines.select("doc_id", "line_no", "oid", *(F.when(F.col("oid").isNotNull(), signature("line", k)).alias(f"sig{k}") for k in (0, 1)))
-    rows = saved(signed, "lines")
+    rows = saved(signed(lines), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line_no")
-    once = saved(rows.filter("oid is not null").groupBy("oid").agg(F.min(place).alias("place"), F.any_value("sig0").alias("sig0"), F.any_value("sig1").alias("sig1")), "once")
-    kinds = [once.filter(f"sig{k} is not null").select("oid", F.lit(k).alias("kind"), F.explode(bands(f"sig{k}", k)).alias("band")) for k in (0, 1)]
+    first = rows.filter("oid is not null").groupBy("oid").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("place"), F.any_value("sig0").alias("sig0"), F.any_value("sig1").alias("sig1"))
+    # Different lines get a number, which is fixed by writing it down.
+    once = saved(first.withColumn("id", F.monotonically_increasing_id()), "once")
+    # A line's number and kind in one: 2 id + kind.
+    kinds = [once.filter(f"sig{k} is not null").select((2 * F.col("id") + k).alias("code"), F.explode(bands(f"sig{k}", k)).alias("band")) for k in (0, 1)]
     banded = kinds[0].unionByName(kinds[1])
-    leaders = banded.groupBy("band").agg(F.min("oid").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "lead")
-    met = saved(banded.join(leaders, "band").filter("oid <> lead"), "met")
-    # Shingles of the lines that met another one, read again from the texts.
-    wanted = met.select("oid", "kind").union(met.select("lead", "kind")).distinct()
-    again = lines.filter("oid is not null").select("oid", "line").join(wanted.select("oid").distinct(), "oid", "left_semi").dropDuplicates(["oid"])
-    sets = saved(again.join(wanted, "oid").select("oid", "kind", F.array_distinct(F.when(F.col("kind") == 0, shingled("line", 0)).otherwise(shingled("line", 1))).alias("set")), "sets")
-    pairs = met.select("oid", "lead", "kind").distinct()
-    lead_sets = sets.select(F.col("oid").alias("lead"), "kind", F.col("set").alias("lead_set"))
-    alike = pairs.join(lead_sets, ["lead", "kind"]).join(sets, ["oid", "kind"]).filter(likeness(F.col("set"), F.col("lead_set")) >= THRESHOLD)
-    links = saved(alike.select("oid", "lead", "kind"), "links")
-    rest = met.join(links.select("oid", "lead", "kind"), ["oid", "lead", "kind"], "left_anti").select("oid", "kind", "band")
+    leaders = banded.groupBy("band").agg(F.min("code").alias("lead"), F.max("code").alias("last")).filter("lead < last").select("band", "lead")
+    met = saved(banded.join(leaders, "band").filter("code <> lead"), "met")
+    # Shingles of the lines that met another one, read again from the texts where they stand first.
+    codes = met.select("code").union(met.select("lead")).distinct()
+    places = once.select("id", "oid", F.col("place.doc").alias("doc"), F.col("place.line_no").alias("line_no"))
+    wanted = saved(codes.withColumn("id", F.shiftright("code", 1)).join(places, "id").drop("id"), "wanted")
+    there = lines.filter("oid is not null").select("oid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line_no", "line")
+    # An inner join: a semi join would be moved ahead of the bitmap.
+    again = sieved(there, wanted).join(wanted, ["oid", "doc", "line_no"])
+    sets = again.select("code", F.array_distinct(F.when(F.col("code") % 2 == 0, shingled("line", 0)).otherwise(shingled("line", 1))).alias("set"))
+    sets = saved(sets.dropDuplicates(["code"]), "sets")
+    pairs = met.select("code", "lead").distinct()
+    lead_sets = sets.select(F.col("code").alias("lead"), F.col("set").alias("lead_set"))
+    alike = pairs.join(lead_sets, "lead").join(sets, "code").filter(likeness(F.col("set"), F.col("lead_set")) >= THRESHOLD)
+    links = saved(alike.select("code", "lead"), "links")
+    rest = met.join(links, ["code", "lead"], "left_anti").select("code", "band")
     more = saved(among(rest, sets), "more")
-    roots = components(links.select(F.col("oid").alias("a"), F.col("lead").alias("b")).unionByName(more))
-    placed = once.select("oid", "place").join(roots.withColumnRenamed("node", "oid"), "oid", "left").withColumn("root", F.coalesce("root", "oid"))
+    roots = components(links.select(F.col("code").alias("a"), F.col("lead").alias("b")).unionByName(more).select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")))
+    placed = once.select("id", "oid", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = placed.groupBy("root").agg(F.min("place").alias("keep"))
     owner = saved(join_hot(placed.select("oid", "root"), first, "root", "inner").select("oid", "keep"), "owner")
-    full = join_hot(rows.filter("oid is not null").select("doc_id", "line_no", "oid"), owner, "oid", "inner").select("doc_id", "line_no", "keep")
+    full = join_hot(rows.filter("oid is not null").select("doc_id", "line_no", "oid"), owner, "oid", "inner", counts=once.select("oid", F.col("m").alias("_n"))).select("doc_id", "line_no", "keep")
     blank = rows.filter("oid is null").select("doc_id", "line_no", place.alias("keep"))
     return full.unionByName(blank).select(
         "doc_id", "line_no", F.when(F.col("keep.doc") < LAST, F.col("keep.doc")).alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), (place == F.col("keep")).alias("kept")
@@ -99,16 +125,16 @@ def among(rest: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     row, which gives only those that are alike."""
     sizes = rest.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     nb = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = rest.join(sizes, "band").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("oid"), F.col("nb")).cast("int"))
+    dealt = rest.join(sizes, "band").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("code"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.join(sets, ["oid", "kind"]).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("oid", "own", "set").alias("x"))
+    dealt = dealt.join(sets, "code").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("code", "own", "set").alias("x"))
     grouped = dealt.groupBy("band", "i", "j").agg(F.collect_list("x").alias("xs"))
     found = F.flatten(
         F.transform(
             "xs",
             lambda x: F.transform(
-                F.filter("xs", lambda y: (y["oid"] < x["oid"]) & ((F.col("i") == F.col("j")) | (y["own"] != x["own"])) & (likeness(x["set"], y["set"]) >= THRESHOLD)),
-                lambda y: F.struct(x["oid"].alias("a"), y["oid"].alias("b")),
+                F.filter("xs", lambda y: (y["code"] < x["code"]) & ((F.col("i") == F.col("j")) | (y["own"] != x["own"])) & (likeness(x["set"], y["set"]) >= THRESHOLD)),
+                lambda y: F.struct(x["code"].alias("a"), y["code"].alias("b")),
             ),
         )
     )
