@@ -30,7 +30,7 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int, rrf_k: int = RRF_K) ->
     share = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
     score = F.when(F.col("n_sem") == 0, F.col("key_score")).when(F.col("n_key") == 0, F.col("sem_score")).otherwise(share("sem_rank") + share("key_rank"))
     mode = F.when(F.col("n_sem") == 0, "keyword").when(F.col("n_key") == 0, "semantic").otherwise("hybrid")
-    order = per.orderBy(F.desc("score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("key_rank"))
+    order = per.orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("key_rank"))
     ranked = both.withColumn("score", score).withColumn("search_mode", mode).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "id", "score", "search_mode", "rank")
 

@@ -232,7 +232,7 @@ a AS (SELECT query_id, id, score AS sem_score, rank AS sem_rank FROM {sem}),
 b AS (SELECT query_id, id, score AS key_score, rank AS key_rank FROM {key}),
 c AS (SELECT query_id, id, sem_score, sem_rank, key_score, key_rank, count(sem_rank) OVER w AS n_sem, count(key_rank) OVER w AS n_key FROM a FULL JOIN b USING (query_id, id) WINDOW w AS (PARTITION BY query_id)),
 e AS (SELECT *, CASE WHEN n_sem = 0 THEN key_score WHEN n_key = 0 THEN sem_score ELSE coalesce(1.0 / (60 + sem_rank), 0) + coalesce(1.0 / (60 + key_rank), 0) END AS score, CASE WHEN n_sem = 0 THEN 'keyword' WHEN n_key = 0 THEN 'semantic' ELSE 'hybrid' END AS search_mode FROM c),
-fused AS (SELECT * FROM (SELECT query_id, id, CAST(score AS DOUBLE) AS score, search_mode, row_number() OVER (PARTITION BY query_id ORDER BY CAST(score AS DOUBLE) DESC, sem_rank ASC NULLS LAST, key_rank ASC NULLS LAST) AS rank FROM e) WHERE rank <= {depth})"""
+fused AS (SELECT * FROM (SELECT query_id, id, CAST(score AS DOUBLE) AS score, search_mode, row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, sem_rank ASC NULLS LAST, key_rank ASC NULLS LAST) AS rank FROM e) WHERE rank <= {depth})"""
 
 
 HYBRID = f"WITH {BM25}, {COSINE}, {_rrf(near_ranked(20), ranked('filled', 20), K)}"
