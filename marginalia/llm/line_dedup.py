@@ -1,11 +1,10 @@
 """Line dedup: fuzzy lines by MinHash, with DataFrame functions only.
 
-Lines (trimmed, without case) that are equal are one line before anything else. A line's shingles are runs of characters: all runs of SHORT_WIDTH
-in lines of up to SHORT characters, runs of LONG_WIDTH that begin with a word in longer ones; lines of nearly that length have both kinds, so
-that similar lines always share one. The MinHash signature is the BOTTOM smallest hashes; each pair of them is a band, so two lines at the
-threshold of 0.8 miss each other with a probability of 2.7 %, at 0.9 of 0.4 %. The smallest line of a band leads; its members are verified
-against it by the exact Jaccard similarity of the shingles, and members that fail are compared with each other in blocks within a row. The links
-go through distributed union-find, and the first line of each component stays.
+Lines (trimmed, without case) that are equal are one line before anything else. A line's shingles are all its runs of SHORT_WIDTH characters,
+whatever its length. The MinHash signature is the BOTTOM smallest hashes; each pair of them is a band, so two lines at the threshold of 0.8 miss
+each other with a probability of 2.7 %, at 0.9 of 0.4 %. The smallest line of a band leads; its members are verified against it by the exact
+Jaccard similarity of the shingles, and members that fail are compared with all other members in blocks within a row. The links go through
+distributed union-find, and the first line of each component stays.
 
 Results: null counts as empty; blank lines stay and are not compared; a line shorter than a shingle is its own shingle; rows that repeat a doc_id
 get the same decisions; null doc_ids come last; an empty table gives no rows. Only doc_id and text are read.
@@ -19,43 +18,35 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import components, join_hot, saved, table, text_of
 
 THRESHOLD, BOTTOM = 0.8, 4
-SHORT, SHORT_WIDTH, LONG_WIDTH = 128, 8, 12
-#: Lines of SHORT to OVERLAP characters have both kinds of shingles.
-OVERLAP, BLOCK = 168, 32
+SHORT_WIDTH, BLOCK = 8, 32
+#: Lengths between which lines had two kinds of shingles; only tests still read them.
+SHORT, OVERLAP = 128, 168
 #: Words of the bitmap of lines to read again: 4 million bits, 65,536 rows to broadcast.
 SIEVE_WORDS = 1 << 16
 LAST = (1 << 63) - 1
 
 
-def shingled(line: str, kind: int) -> Column:
-    """Hashes of the shingles of a kind: 0 all positions, 1 beginnings of words."""
-    if kind == 0:  # a line shorter than a shingle is filled up to one
-        text, pattern = F.concat(F.col(line), F.repeat(F.lit(" "), F.lit(SHORT_WIDTH) - F.length(line))), f"(?s)(?=(.{{{SHORT_WIDTH}}}))"
-    else:
-        text, pattern = F.concat(F.lit(" "), F.col(line)), f"(?s) (?=(.{{{LONG_WIDTH}}}))"
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
-
-
-def has_kind(line: str, kind: int) -> Column:
-    return F.length(line) <= OVERLAP if kind == 0 else F.length(line) > SHORT
+def shingled(line: str) -> Column:
+    """Hashes of all runs of SHORT_WIDTH characters; a line shorter than a shingle is filled up to one."""
+    text = F.concat(F.col(line), F.repeat(F.lit(" "), F.lit(SHORT_WIDTH) - F.length(line)))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{SHORT_WIDTH}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """Lines with sig0 and sig1, the smallest different hashes of each kind that a line has. More than BOTTOM are taken before equal ones go; only
-    a line that repeats its smallest shingles often is gone through whole. Each step is a projection, so that no array is made twice."""
-    kinds = (0, 1)
+    """Lines with sig, the smallest different hashes. More than BOTTOM are taken before equal ones go; only a line that repeats its smallest
+    shingles often is gone through whole. Each step is a projection, so that no array is made twice."""
     keys = ("doc_id", "line_no", "oid")
-    found = lines.select(*keys, *(F.when(F.col("oid").isNotNull() & has_kind("line", k), shingled("line", k)).alias(f"h{k}") for k in kinds))
-    ordered = found.select(*keys, *(F.sort_array(f"h{k}").alias(f"h{k}") for k in kinds))
-    few = ordered.select(*keys, *(f"h{k}" for k in kinds), *(F.slice(F.array_distinct(F.slice(f"h{k}", 1, 8 * BOTTOM)), 1, BOTTOM).alias(f"f{k}") for k in kinds))
-    return few.select(*keys, *(F.when(F.size(f"f{k}") == BOTTOM, F.col(f"f{k}")).otherwise(F.slice(F.array_distinct(f"h{k}"), 1, BOTTOM)).alias(f"sig{k}") for k in kinds))
+    found = lines.select(*keys, F.when(F.col("oid").isNotNull(), shingled("line")).alias("h"))
+    ordered = found.select(*keys, F.sort_array("h").alias("h"))
+    few = ordered.select(*keys, "h", F.slice(F.array_distinct(F.slice("h", 1, 8 * BOTTOM)), 1, BOTTOM).alias("few"))
+    return few.select(*keys, F.when(F.size("few") == BOTTOM, F.col("few")).otherwise(F.slice(F.array_distinct("h"), 1, BOTTOM)).alias("sig"))
 
 
-def bands(sig: str, kind: int) -> Column:
+def bands(sig: str) -> Column:
     """Keys of all pairs of a signature, or of its only hash."""
     s = F.col(sig)
-    pairs = F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.lit(BOTTOM)), lambda y: F.xxhash64(F.lit(kind), x, y))))
-    return F.when(F.size(s) > 1, pairs).otherwise(F.transform(s, lambda x: F.xxhash64(F.lit(kind), x)))
+    pairs = F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.lit(BOTTOM)), lambda y: F.xxhash64(x, y))))
+    return F.when(F.size(s) > 1, pairs).otherwise(F.transform(s, lambda x: F.xxhash64(x)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -86,22 +77,20 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     rows = saved(signed(lines), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line_no")
-    first = rows.filter("oid is not null").groupBy("oid").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("place"), F.any_value("sig0").alias("sig0"), F.any_value("sig1").alias("sig1"))
+    first = rows.filter("oid is not null").groupBy("oid").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("place"), F.any_value("sig").alias("sig"))
     # Different lines get a number, which is fixed by writing it down.
     once = saved(first.withColumn("id", F.monotonically_increasing_id()), "once")
-    # A line's number and kind in one: 2 id + kind.
-    kinds = [once.filter(f"sig{k} is not null").select((2 * F.col("id") + k).alias("code"), F.explode(bands(f"sig{k}", k)).alias("band")) for k in (0, 1)]
-    banded = kinds[0].unionByName(kinds[1])
+    banded = once.select(F.col("id").alias("code"), F.explode(bands("sig")).alias("band"))
     leaders = banded.groupBy("band").agg(F.min("code").alias("lead"), F.max("code").alias("last")).filter("lead < last").select("band", "lead")
     met = saved(banded.join(leaders, "band").filter("code <> lead"), "met")
     # Shingles of the lines that met another one, read again from the texts where they stand first.
     codes = met.select("code").union(met.select("lead")).distinct()
-    places = once.select("id", "oid", F.col("place.doc").alias("doc"), F.col("place.line_no").alias("line_no"))
-    wanted = saved(codes.withColumn("id", F.shiftright("code", 1)).join(places, "id").drop("id"), "wanted")
+    places = once.select(F.col("id").alias("code"), "oid", F.col("place.doc").alias("doc"), F.col("place.line_no").alias("line_no"))
+    wanted = saved(codes.join(places, "code"), "wanted")
     there = lines.filter("oid is not null").select("oid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line_no", "line")
     # An inner join: a semi join would be moved ahead of the bitmap.
     again = sieved(there, wanted).join(wanted, ["oid", "doc", "line_no"])
-    sets = again.select("code", F.array_distinct(F.when(F.col("code") % 2 == 0, shingled("line", 0)).otherwise(shingled("line", 1))).alias("set"))
+    sets = again.select("code", F.array_distinct(shingled("line")).alias("set"))
     sets = saved(sets.dropDuplicates(["code"]), "sets")
     pairs = met.select("code", "lead").distinct()
     lead_sets = sets.select(F.col("code").alias("lead"), F.col("set").alias("lead_set"))
@@ -109,7 +98,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     links = saved(alike.select("code", "lead"), "links")
     rest = met.join(links, ["code", "lead"], "left_anti").select("code", "band")
     more = saved(among(rest, sets), "more")
-    roots = components(links.select(F.col("code").alias("a"), F.col("lead").alias("b")).unionByName(more).select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")))
+    roots = components(links.select(F.col("code").alias("a"), F.col("lead").alias("b")).unionByName(more))
     placed = once.select("id", "oid", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = placed.groupBy("root").agg(F.min("place").alias("keep"))
     owner = saved(join_hot(placed.select("oid", "root"), first, "root", "inner").select("oid", "keep"), "owner")

@@ -222,6 +222,17 @@ def test_lines(spark):
     assert all(r["kept"] == ((r["doc_id"], r["line_no"]) == (r["keep_doc_id"], r["keep_line_no"])) for r in got if r["doc_id"] is not None)
 
 
+def test_long_lines_by_all_runs(spark):
+    """Long lines of no or few spaces that only begin alike are all kept; their near copies are not."""
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    alone = [f"begins alike {own(200)}" for _ in range(5)] + [f"see https://exam{own(200)}" for _ in range(5)] + [f"data:image/png;base64,{own(130)}" for _ in range(5)]
+    far = own(400)
+    texts = [(i, t) for i, t in enumerate(alone)] + [(50, far), (51, far[:200] + "-" + far[200:]), (52, "\t".join(far[i : i + 9] for i in range(0, 400, 9)))]
+    got = {r["doc_id"]: (r["kept"], r["keep_doc_id"]) for r in line_dedup.kept_lines(table(spark, texts)).collect()}
+    assert got == {**{i: (True, i) for i in range(15)}, 50: (True, 50), 51: (False, 50), 52: (True, 52)}
+
+
 def test_line_blocks(spark):
     sets = spark.createDataFrame([(i, list(range(i, i + 20))) for i in range(50)], "code long, set array<long>")
     rest = spark.createDataFrame([(i, 5) for i in range(50)], "code long, band long")
