@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import has_all_tags, id_of_stem
 from marginalia.schema import NOTE_TYPES
+from marginalia.scratch import saved
 
 
 def type_rank():
@@ -94,11 +95,18 @@ def with_backlinks(notes: DataFrame) -> DataFrame:
 
 
 def import_notes(rows: DataFrame, at: str, note_type: str = "permanent") -> DataFrame:
-    """Rows (title, content, tags) as notes: ids are the time ``at`` and a running number, without any pass through one task."""
-    numbered = rows.withColumn("_n", F.monotonically_increasing_id())
+    """Rows (title, content, tags) as notes: ids are the time ``at`` and a running number of four digits, which carries into the seconds, so that
+    ids of any number of rows differ and have 18 digits. The rows are written once, which fixes their numbers; only one row for each part of
+    the table passes through one task."""
+    own = saved(rows.select("title", "content", "tags", F.monotonically_increasing_id().alias("_n"))).withColumn("_part", F.shiftright("_n", 33))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("_part").agg(F.count(F.lit(1)).alias("m")).select("_part", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("_base"))
+    numbered = own.join(F.broadcast(base), "_part").withColumn("_n", F.col("_base") + F.col("_n").bitwiseAND((1 << 33) - 1))
     stamp = F.to_timestamp(F.lit(at))
+    # Without a time zone, so that no hour comes twice.
+    second = F.to_timestamp_ntz(F.lit(at)) + F.make_dt_interval(secs=F.floor(F.col("_n") / 10_000))
     return numbered.select(
-        F.concat(F.date_format(stamp, "yyyyMMddHHmmss"), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("id"),
+        F.concat(F.regexp_replace(F.substring(second.cast("string"), 1, 19), "[^0-9]", ""), F.lpad((F.col("_n") % 10_000).cast("string"), 4, "0")).alias("id"),
         F.coalesce("title", F.lit("Untitled")).alias("title"),
         F.coalesce("content", F.lit("")).alias("content"),
         F.lit(note_type).alias("type"),

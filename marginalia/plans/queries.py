@@ -607,4 +607,4 @@ def _(spark, d):
     rows = docs.select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.array("lang").alias("tags"))
     n = maintain.import_notes(rows, "2026-04-28 10:00:00")
     index = bm25.build(n.select("id", F.col("id").cast("decimal(38,0)").cast("string").alias("ord"), T.bm25_text(F.col("title"), F.col("content")).alias("text")))
-    return n.groupBy("type").agg(F.count(F.lit(1)).alias("notes")).crossJoin(index.corpus.select("n"))  # one row each
+    return n.groupBy("type").agg(F.count(F.lit(1)).alias("notes"), F.count_distinct("id").alias("ids")).crossJoin(index.corpus.select("n"))  # one row each

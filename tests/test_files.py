@@ -76,6 +76,13 @@ def test_json_and_import(spark, tmp_path):
     assert all(r["id"].startswith("20260428100000") for r in n.collect())
 
 
+def test_import_ids_differ(spark):
+    rows = spark.range(25_000, numPartitions=3).select(F.col("id").cast("string").alias("title"), F.lit("x").alias("content"), F.array(F.lit("t")).alias("tags"))
+    ids = {r["id"] for r in maintain.import_notes(rows, "2026-04-28 23:59:59").select("id").collect()}
+    assert len(ids) == 25_000 and all(len(i) == 18 and i.isdigit() for i in ids)
+    assert min(ids) == "202604282359590000" and max(ids) == "202604290000014999"
+
+
 def test_formats(spark, tmp_path):
     df = spark.createDataFrame([("1", "One", "b", ["x", "y"], "/a"), ("2", "Two, too", "a", [], None)], "id string, title string, type string, tags array<string>, filepath string").coalesce(1)
     assert json.loads(formats.render(df, "json"))[1]["title"] == "Two, too"
