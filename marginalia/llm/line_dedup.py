@@ -96,10 +96,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     lead_sets = sets.select(F.col("code").alias("lead"), F.col("set").alias("lead_set"))
     alike = pairs.join(lead_sets, "lead").join(sets, "code").filter(likeness(F.col("set"), F.col("lead_set")) >= THRESHOLD)
     links = saved(alike.select("code", "lead"), "links")
-    rest = met.join(links, ["code", "lead"], "left_anti").select("code", "band")
-    more = saved(among(rest, sets), "more")
-    roots = components(links.select(F.col("code").alias("a"), F.col("lead").alias("b")).unionByName(more))
-    placed = once.select("id", "oid", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # Members that no link joins to their leader meet all others of the band, linked ones too.
+    edges = links.select(F.col("code").alias("a"), F.col("lead").alias("b"))
+    known = components(edges).withColumnRenamed("node", "code")
+    told = met.join(links.withColumn("linked", F.lit(True)), ["code", "lead"], "left").select("code", "band", F.col("linked").isNull().alias("open"))
+    told = saved(told.join(known, "code", "left").withColumn("root", F.coalesce("root", "code")), "told")
+    more = saved(among(told.join(differing(told), "band", "left_semi"), sets), "more")
+    roots = components(edges.unionByName(more)).withColumnRenamed("node", "id")
+    placed = once.select("id", "oid", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = placed.groupBy("root").agg(F.min("place").alias("keep"))
     owner = saved(join_hot(placed.select("oid", "root"), first, "root", "inner").select("oid", "keep"), "owner")
     full = join_hot(rows.filter("oid is not null").select("doc_id", "line_no", "oid"), owner, "oid", "inner", counts=once.select("oid", F.col("m").alias("_n"))).select("doc_id", "line_no", "keep")
@@ -109,20 +113,31 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def among(rest: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among members of a band that are unlike its leader. Blocks of about ``block`` members meet pairwise, each pair of blocks in one
-    row, which gives only those that are alike."""
-    sizes = rest.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    nb = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = rest.join(sizes, "band").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("code"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.join(sets, "code").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("code", "own", "set").alias("x"))
+def differing(members: DataFrame) -> DataFrame:
+    """(band) of the bands with open members and members of more than one component, one of those with the same members."""
+    seen = [F.bit_xor(F.xxhash64(F.lit(k), "code", "open")).alias(f"f{k}") for k in (1, 2)]
+    each = members.groupBy("band").agg(F.bool_or("open").alias("any"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("m"), *seen)
+    return each.filter("any and r1 <> r2").groupBy("m", "f1", "f2").agg(F.min("band").alias("band")).select("band")
+
+
+def among(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of the open members (code, band, open, root) of a band, which are unlike its leader, with all members of other components;
+    without columns ``open`` and ``root`` each is open and a component. Blocks of about ``block`` members, open or not, meet pairwise, each pair of
+    blocks in one row, which gives only those that are alike. Blocks of members that are not open don't meet each other."""
+    if "open" not in members.columns:
+        members = members.withColumn("open", F.lit(True)).withColumn("root", F.col("code"))
+    sizes = members.groupBy("band").agg(F.count_if("open").alias("m"), F.count_if(~F.col("open")).alias("n")).filter("m > 0 and m + n > 1")
+    sizes = sizes.select("band", *(F.ceil(F.col(x) / F.lit(block)).cast("int").alias(f"{x}b") for x in ("m", "n")))
+    spread = lambda n: F.pmod(F.xxhash64("code"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    dealt = members.join(sizes, "band").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("mb") + F.col("nb")).otherwise(F.col("mb")) - 1)))
+    dealt = dealt.join(sets, "code").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("code", "root", "own", "set").alias("x"))
     grouped = dealt.groupBy("band", "i", "j").agg(F.collect_list("x").alias("xs"))
     found = F.flatten(
         F.transform(
             "xs",
             lambda x: F.transform(
-                F.filter("xs", lambda y: (y["code"] < x["code"]) & ((F.col("i") == F.col("j")) | (y["own"] != x["own"])) & (likeness(x["set"], y["set"]) >= THRESHOLD)),
+                F.filter("xs", lambda y: (y["code"] < x["code"]) & (y["root"] != x["root"]) & ((F.col("i") == F.col("j")) | (y["own"] != x["own"])) & (likeness(x["set"], y["set"]) >= THRESHOLD)),
                 lambda y: F.struct(x["code"].alias("a"), y["code"].alias("b")),
             ),
         )

@@ -233,6 +233,23 @@ def test_long_lines_by_all_runs(spark):
     assert got == {**{i: (True, i) for i in range(15)}, 50: (True, 50), 51: (False, 50), 52: (True, 52)}
 
 
+def test_lines_linked_through_a_linked_one(spark, monkeypatch):
+    """Two lines that are like a third one but not like each other are one component, whichever of the three leads their only band."""
+    monkeypatch.setattr(line_dedup, "BOTTOM", 1)
+    rng = random.Random(12)
+    texts = []
+    for f in range(60):
+        own = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)]
+        one, two = list(own), list(own)
+        one[20:30], two[150:160] = "0123456789", "9876543210"
+        texts += [(3 * f + i, "".join(x)) for i, x in enumerate((one, own, two))]
+    sigs = {r["doc_id"]: r["sig"] for r in line_dedup.signed(line_dedup.lines_of(table(spark, texts))).collect()}
+    met = [f for f in range(60) if sigs[3 * f] == sigs[3 * f + 1] == sigs[3 * f + 2]]
+    assert len(met) > 20
+    got = line_dedup.kept_lines(table(spark, [t for t in texts if t[0] // 3 in met])).collect()
+    assert all(r["keep_doc_id"] == r["doc_id"] // 3 * 3 for r in got)
+
+
 def test_line_blocks(spark):
     sets = spark.createDataFrame([(i, list(range(i, i + 20))) for i in range(50)], "code long, set array<long>")
     rest = spark.createDataFrame([(i, 5) for i in range(50)], "code long, band long")
