@@ -150,6 +150,7 @@ class Prepared:
         self.raw = text.encode("utf-8")
         self.words, self.begins, self.ends = words(self.raw)
         self.shingles = shingles(self.words)
+        self.wholes = run_hashes(self.shingles)
         self.chars = None
 
     def char(self, byte: int) -> int:
@@ -158,32 +159,103 @@ class Prepared:
         return int(self.chars[byte])
 
 
+def run_hashes(s: np.ndarray, size: int = LEAST) -> np.ndarray:
+    """Hashes of all runs of ``size`` shingles, made from those of runs of half the length."""
+    if len(s) < size:
+        return np.zeros(0, _U)
+    if size == 1:
+        return s
+    half = run_hashes(s, size // 2)
+    n = len(s) - size + 1
+    out = mix(half[:n] * _U(0xD6E8FEB86659FD93) + half[size // 2 : size // 2 + n])
+    return mix(out * _U(0xD6E8FEB86659FD93) + s[size - 1 :]) if size % 2 else out
+
+
 def passages(own: Prepared, other: Prepared, region: tuple[int, int], other_region: tuple[int, int], threshold: float = THRESHOLD) -> list[tuple]:
     """Passages of ``own`` that repeat one of ``other`` within the regions of shingles: (start, end, first, last, words, similarity), the first
-    two in characters, the next in shingles."""
+    two in characters, the next in shingles. A stretch that is not like the other's first places is compared along each diagonal that many shared
+    shingles lie on, and what repeats exactly is a passage in any case."""
     s, p = own.shingles, other.shingles
     a, z = max(0, region[0]), min(len(s), region[1] + 1)
     pa_, pz = max(0, other_region[0]), min(len(p), other_region[1] + 1)
     x, y = s[a:z], p[pa_:pz]
     order = np.argsort(y, kind="stable")
-    at = np.searchsorted(y[order], x)
+    ranked = y[order]
+    at = np.searchsorted(ranked, x)
     place = order[np.minimum(at, len(y) - 1)] if len(y) else at
     hit = (y[place] == x) if len(y) else np.zeros(len(x), bool)
     out, done = [], []
+
+    def found(i: int, j: int, alike: float) -> None:
+        done.append((i, j))
+        first, last = a + i, a + j - 1
+        stop = min(len(own.words), last + SIZE) - 1
+        out.append((own.char(own.begins[first]), own.char(own.ends[stop]), first, last, stop - first + 1, float(alike)))
+
+    known = lambda i, j: j - i < LEAST or any(a0 <= i and j <= z0 for a0, z0 in done)
     # Stretches with misses come first; shared runs that none of them covers stand by themselves.
     pure = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).reshape(-1, 2).tolist()
-    for i, j in runs(hit) + pure:
-        if j - i < LEAST or any(a0 <= i and j <= z0 for a0, z0 in done):
+    for i, j in runs(hit):
+        if known(i, j):
             continue
         alike = likeness(x, y, place, hit, i, j)
         if alike >= threshold:
-            done.append((i, j))
-            first, last = a + i, a + j - 1
-            stop = min(len(own.words), last + SIZE) - 1
-            out.append((own.char(own.begins[first]), own.char(own.ends[stop]), first, last, stop - first + 1, float(alike)))
+            found(i, j, alike)
+            continue
+        for d, near in diagonals(x, ranked, order, at, hit, i, j, done):
+            on = np.zeros(len(x), bool)
+            on[i:j] = hit[i:j] & (np.abs(near - np.arange(i, j) - d) <= max(2, (j - i) // 10))
+            own_place = place.copy()
+            own_place[i:j] = near
+            for i2, j2 in runs(on):
+                if not known(i2, j2) and (alike := likeness(x, y, own_place, on, i2, j2)) >= threshold:
+                    found(i2, j2, alike)
+    for i, j in pure:
+        if not known(i, j) and (alike := likeness(x, y, place, hit, i, j)) >= threshold:
+            found(i, j, alike)
+    exact = np.isin(own.wholes[a : max(a, z - LEAST + 1)], other.wholes[pa_ : max(pa_, pz - LEAST + 1)])
+    for i, j in np.flatnonzero(np.diff(np.concatenate(([0], exact.view(np.int8), [0])))).reshape(-1, 2).tolist():
+        if not known(i, j + LEAST - 1):
+            found(i, j + LEAST - 1, 1.0)
     return out
 
 
+def diagonals(x: np.ndarray, ranked: np.ndarray, order: np.ndarray, at: np.ndarray, hit: np.ndarray, i: int, j: int, done: list[tuple[int, int]], most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+    """Shifts on which at least HALF of the shared shingles x[i:j] lie, those with the most first, and the places nearest to each shift. The rarest
+    shingles vote, with all their places, up to ``most`` votes; those in stretches that are ``done`` meanwhile vote no more."""
+    k = np.flatnonzero(hit[i:j]) + i
+    n = np.searchsorted(ranked, x[k], "right") - at[k]
+    voters = np.argsort(n, kind="stable")
+    voters = voters[: max(1, int(np.searchsorted(np.cumsum(n[voters]), most, "right")))]
+    each = n[voters]
+    which = np.repeat(k[voters], each)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+    shift = order[at[which] + step] - which
+    size = len(ranked) + 1
+    keys = np.searchsorted(ranked, ranked, "left") * size + order
+    left = np.ones(len(shift), bool)
+    slack = max(2, LEAST // 10)
+    while left.sum() >= HALF:
+        base = int(shift[left].min())
+        votes = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(shift[left] - base, minlength=1))))
+        ends = np.minimum(np.arange(len(votes) - 1) + 2 * slack + 1, len(votes) - 1)
+        total = votes[ends] - votes[:-1]
+        best = int(total.argmax())
+        if total[best] < HALF:
+            return
+        own = left & (shift - base >= best) & (shift - base <= best + 2 * slack)
+        d = int(np.median(shift[own]))
+        want = at[i:j] * size + np.clip(np.arange(i, j) + d, 0, size - 2)
+        after = np.searchsorted(keys, want)
+        lo, hi = np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)
+        same = lambda q: keys[q] // size == at[i:j]
+        far = lambda q: np.where(same(q), np.abs(keys[q] - want), 2 * size)
+        yield d, order[np.where(far(lo) <= far(hi), lo, hi)]
+        left &= ~own
+        for a0, z0 in done:
+            left &= (which < a0) | (which >= z0)
+
+
 def likeness(x: np.ndarray, y: np.ndarray, place: np.ndarray, hit: np.ndarray, i: int, j: int) -> float:
     """Jaccard similarity of x[i:j] with the stretch of y where its shared shingles are, those far off the usual shift left out."""
     diag = int(np.median(place[i:j][hit[i:j]] - np.arange(i, j)[hit[i:j]]))

@@ -173,6 +173,19 @@ def test_passages(spark, corpus):
     assert all(r["n_chars"] == len(r["text"]) for r in staged.values() if r["text"] is not None)
 
 
+def test_exact_passages_whose_words_stand_earlier_too():
+    rng = random.Random(6)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    for n in (100, 40):
+        a, b, c = own(30), own(30), own(n)
+        leader, later = (compact_windows.Prepared(" ".join(t)) for t in (a + b + a + c, own(20) + a + c + own(20)))
+        (got,) = compact_windows.passages(later, leader, (0, 10**6), (0, 10**6))
+        assert got[2:] == (20, 20 + 30 + n - 5, 30 + n, 1.0)
+    one, two = own(50), own(55)  # in the other order, between other words
+    leader, later = (compact_windows.Prepared(" ".join(t)) for t in (two + own(70) + one, one + two))
+    assert sorted(f[2:] for f in compact_windows.passages(later, leader, (0, 10**6), (0, 10**6))) == [(0, 45, 50, 1.0), (50, 100, 55, 1.0)]
+
+
 def test_near_passages(spark):
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(120)]
