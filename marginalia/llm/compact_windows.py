@@ -323,15 +323,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def nearest(rows: DataFrame, texts: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    """For members (band, side, uid, doc, c) that no leader explained, the earlier member of their band whose shingles around the centre are most
-    alike, if half of LEAST are the same: (uid, lead, l, r, lead_l, lead_r).
+    """For members (band, side, uid, doc, c, open) that no leader explained, the open ones, of all earlier members of their band the one whose
+    shingles around the centre are most alike, if half of LEAST are the same, and those whose exact repetition around the centre reaches farthest
+    to the left and to the right: (uid, lead, l, r, lead_l, lead_r).
 
     Bands of more than ``large`` members are split by further min-hashes of the same side, which an exact repetition shares; what is left is
-    compared block against block. Each text is read once for all its members.
+    compared block against block, the blocks of open members with all others. Each text is read once for all its members.
     """
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    per_text = rows.join(sizes.select("band"), "band").groupBy("uid").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("band", "side", "c")).alias("at")).join(texts, "uid")
-    kinds = [("band", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("more", pa.int64()), ("near", pa.binary())]
+    if "open" not in rows.columns:
+        rows = rows.withColumn("open", F.lit(True))
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.bool_or("open").alias("any")).filter("m > 1 and any")
+    per_text = rows.join(sizes.select("band"), "band").groupBy("uid").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("band", "side", "c", "open")).alias("at")).join(texts, "uid")
+    kinds = [("band", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("open", pa.bool_()), ("more", pa.int64()), ("near", pa.binary())]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,32 +346,40 @@ def nearest(rows: DataFrame, texts: DataFrame, large: int = LARGE, block: int =
                 for x in at:
                     c = x["c"]
                     if c not in seen:
-                        seen[c] = np.unique(s[max(0, c - LEAST) : c + LEAST]).tobytes()
-                    out.append((x["band"], uid, doc, c, int(more[c if x["side"] == 1 else max(0, c - HALF + 1)]), seen[c]))
+                        seen[c] = s[max(0, c - LEAST) : c + LEAST].tobytes()
+                    out.append((x["band"], uid, doc, c, x["open"], int(more[c if x["side"] == 1 else max(0, c - HALF + 1)]), seen[c]))
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
-    near = saved(per_text.select("uid", "doc", "at", "text").mapInArrow(around, "band long, uid long, doc long, c int, more long, near binary"), "near")
+    near = saved(per_text.select("uid", "doc", "at", "text").mapInArrow(around, "band long, uid long, doc long, c int, open boolean, more long, near binary"), "near")
     wide = near.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > large).select("band", F.lit(True).alias("wide"))
     parts = near.join(wide, "band", "left").withColumn("band", F.when(F.col("wide"), F.xxhash64("band", "more")).otherwise(F.col("band")))
-    sizes = parts.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    nb = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = parts.join(sizes, "band").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "doc", "c", "near")
+    sizes = parts.groupBy("band").agg(F.count_if("open").alias("m"), F.count_if(~F.col("open")).alias("n")).filter("m > 0 and m + n > 1")
+    sizes = sizes.select("band", *(F.ceil(F.col(x) / F.lit(block)).cast("int").alias(f"{x}b") for x in ("m", "n")))
+    spread = lambda n: F.pmod(F.xxhash64("uid"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    dealt = parts.join(sizes, "band").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("mb") + F.col("nb")).otherwise(F.col("mb")) - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "doc", "c", "open", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch_of in _chunks(groups(batches)):
             out = []
             for _, members in batch_of:
                 members.sort(key=lambda m: (m[1], m[0], m[2]))
-                uid, _, c, lists = zip(*members, strict=True)
-                common = np.tril(shared_counts([np.frombuffer(x, _U) for x in lists]), -1)
-                common[np.array(uid)[:, None] == np.array(uid)[None, :]] = 0
-                best = common.argmax(1)
-                out += [(uid[k], uid[b], c[k] - LEAST, c[k] + LEAST, c[b] - LEAST, c[b] + LEAST) for k, b in enumerate(best.tolist()) if common[k, b] >= HALF]
+                uid, _, c, is_open, lists = zip(*members, strict=True)
+                lists = [np.frombuffer(x, _U) for x in lists]
+                may = np.tril(np.array(uid)[:, None] != np.array(uid)[None, :], -1) & np.array(is_open)[:, None]
+                if not may.any():
+                    continue
+                common = np.where(may, shared_counts([np.unique(x) for x in lists]), 0)
+                left, right = reach(lists, c, may)
+                exact = left + right >= LEAST
+                for score in (np.where(common >= HALF, common, 0), np.where(exact, left + 1, 0), np.where(exact, right + 1, 0)):
+                    best = score.argmax(1)
+                    out += [(uid[k], uid[b], c[k] - LEAST, c[k] + LEAST, c[b] - LEAST, c[b] + LEAST) for k, b in enumerate(best.tolist()) if score[k, b]]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["uid", "lead", "l", "r", "lead_l", "lead_r"])
 
@@ -378,6 +389,26 @@ def nearest(rows: DataFrame, texts: DataFrame, large: int = LARGE, block: int =
     return found.groupBy("uid", "lead").agg(*wide).select("uid", "lead", *((F.col(x) + s * 4 * LEAST).alias(x) for x, s in (("l", -1), ("r", 1), ("lead_l", -1), ("lead_r", 1))))
 
 
+def reach(lists: list[np.ndarray], centres: tuple[int, ...], may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of each pair that ``may`` be are the same in a row up to the centres (themselves left out), and from the centres on."""
+    n = len(lists)
+    around = np.zeros((n, 2 * LEAST), _U)
+    there = np.zeros((n, 2 * LEAST), bool)
+    for k, (s, c) in enumerate(zip(lists, centres, strict=True)):
+        at = LEAST - min(c, LEAST)
+        around[k, at : at + len(s)], there[k, at : at + len(s)] = s, True
+    out = []
+    for steps in (range(LEAST - 1, -1, -1), range(LEAST, 2 * LEAST)):
+        alive, count = may, np.zeros((n, n), np.int32)
+        for t in steps:
+            alive = alive & (around[:, None, t] == around[None, :, t]) & there[:, None, t] & there[None, :, t]
+            if not alive.any():
+                break
+            count += alive
+        out.append(count)
+    return out[0], out[1]
+
+
 def _chunks(items: Iterator, size: int = 256) -> Iterator[list]:
     run = []
     for x in items:
@@ -427,8 +458,11 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     texts = saved(texts_of(docs, units.join(needed, "uid", "left_semi")), "texts")
     first = saved(verified(regions, texts), "first")
     covered = first.select("uid", "first", "last")
-    rest = met.select("band", "side", "uid", "doc", "c").join(covered, (met["uid"] == covered["uid"]) & F.col("c").between(F.col("first"), F.col("last")), "left_anti").distinct()
-    second = verified(saved(nearest(rest, texts), "nearest"), texts)
+    # Members in a passage already found are not open, but may be the source of others.
+    members = met.select("band", "side", "uid", "doc", "c").distinct()
+    explained = members.select("uid", "c").distinct().join(covered, "uid").filter(F.col("c").between(F.col("first"), F.col("last"))).select("uid", "c", F.lit(False).alias("open")).distinct()
+    members = members.join(explained, ["uid", "c"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    second = verified(saved(nearest(members, texts), "nearest"), texts)
     every = first.unionByName(second)
     names = units.select(F.col("uid").alias("lead"), F.col("doc_id").alias("source_doc_id"))
     listed = every.join(units, "uid").join(names, "lead").select("doc_id", "uid", "sig", "start", "end", F.col("words").alias("n_words"), "source_doc_id", "similarity")

@@ -186,6 +186,21 @@ def test_exact_passages_whose_words_stand_earlier_too():
     assert sorted(f[2:] for f in compact_windows.passages(later, leader, (0, 10**6), (0, 10**6))) == [(0, 45, 50, 1.0), (50, 100, 55, 1.0)]
 
 
+def test_repeat_of_an_explained_text(spark):
+    """Texts that repeat a passage of one which is itself a near copy of the smallest, where they differ from that one."""
+    rng = random.Random(21)
+    texts, want = [], []
+    for f in range(30):
+        one = [f"u{rng.randrange(10**6)}" for _ in range(300)]
+        other = list(one)
+        for k in (20, 130, 170, 220, 280):
+            other[k] = f"t{rng.randrange(10**6)}"
+        texts += [(10 * f, " ".join(one)), (10 * f + 1, " ".join(other)), (10 * f + 2, " ".join([f"r{rng.randrange(10**6)}" for _ in range(60)] + other[125:175] + [f"r{rng.randrange(10**6)}" for _ in range(60)]))]
+    got = {(r["doc_id"], r["source_doc_id"]): r["n_words"] for r in compact_windows.repeated_passages(table(spark, texts)).collect()}
+    for f in range(30):
+        assert (10 * f + 1, 10 * f) in got and got[10 * f + 2, 10 * f + 1] >= 50
+
+
 def test_near_passages(spark):
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(120)]
