@@ -30,9 +30,7 @@ from marginalia.llm.chosen_path import groups, shared_counts, signature
 from marginalia.llm.common import BROADCAST_ROWS, discard, join_hot, saved, table, text_of, without
 from marginalia.llm.shingles import SIZE, mix, shingles, words, words_of
 
-WORDS, HASHES, THRESHOLD, BLOCK = 50, 3, 0.8, 512
-#: Members of a band from which on it is split before its members are compared.
-LARGE = 64
+WORDS, HASHES, THRESHOLD, BLOCK = 50, 4, 0.8, 512
 LEAST = WORDS - SIZE + 1
 HALF = LEAST // 2
 LAST = (1 << 63) - 1
@@ -62,8 +60,8 @@ def windows(values: np.ndarray, ties: bool, least: int = LEAST) -> list[tuple[in
     return out
 
 
-def contexts(tokens: np.ndarray, keys: np.ndarray = _KEYS[-3:], half: int = HALF) -> np.ndarray:
-    """At each place a hash of min-hashes (by default three) of the ``half`` shingles that begin there, as far as the text goes. The minimum of a run is that of
+def contexts(tokens: np.ndarray, keys: np.ndarray = _KEYS[-2:], half: int = HALF) -> np.ndarray:
+    """At each place a hash of min-hashes (by default two) of the ``half`` shingles that begin there, as far as the text goes. The minimum of a run is that of
     two runs of half its length."""
     out = np.zeros(len(tokens), _U)
     for k in keys:
@@ -322,45 +320,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("uid", "lead", "l", "r", "lead_l", "lead_r", "text", "lead_text").mapInArrow(run, "uid long, lead long, start int, end int, first int, last int, words int, similarity double")
 
 
-def nearest(rows: DataFrame, texts: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """For members (band, side, uid, doc, c, open) that no leader explained, the open ones, of all earlier members of their band the one whose
     shingles around the centre are most alike, if half of LEAST are the same, and those whose exact repetition around the centre reaches farthest
     to the left and to the right: (uid, lead, l, r, lead_l, lead_r).
 
-    Bands of more than ``large`` members are split by further min-hashes of the same side, which an exact repetition shares; what is left is
-    compared block against block, the blocks of open members with all others. Each text is read once for all its members.
+    Blocks of about ``block`` members meet pairwise, those of open members with all others. Each text is read once for all its members.
     """
     if "open" not in rows.columns:
         rows = rows.withColumn("open", F.lit(True))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.bool_or("open").alias("any")).filter("m > 1 and any")
     per_text = rows.join(sizes.select("band"), "band").groupBy("uid").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("band", "side", "c", "open")).alias("at")).join(texts, "uid")
-    kinds = [("band", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("open", pa.bool_()), ("more", pa.int64()), ("near", pa.binary())]
+    kinds = [("band", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("open", pa.bool_()), ("near", pa.binary())]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for uid, doc, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(words(text.encode("utf-8"))[0])
-                more = contexts(s, _KEYS[-6:-3]).view(np.int64)
                 seen: dict[int, bytes] = {}
                 for x in at:
                     c = x["c"]
                     if c not in seen:
                         seen[c] = s[max(0, c - LEAST) : c + LEAST].tobytes()
-                    out.append((x["band"], uid, doc, c, x["open"], int(more[c if x["side"] == 1 else max(0, c - HALF + 1)]), seen[c]))
+                    out.append((x["band"], uid, doc, c, x["open"], seen[c]))
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
-    near = saved(per_text.select("uid", "doc", "at", "text").mapInArrow(around, "band long, uid long, doc long, c int, open boolean, more long, near binary"), "near")
-    wide = near.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > large).select("band", F.lit(True).alias("wide"))
-    parts = near.join(wide, "band", "left").withColumn("band", F.when(F.col("wide"), F.xxhash64("band", "more")).otherwise(F.col("band")))
-    sizes = parts.groupBy("band").agg(F.count_if("open").alias("m"), F.count_if(~F.col("open")).alias("n")).filter("m > 0 and m + n > 1")
+    near = saved(per_text.select("uid", "doc", "at", "text").mapInArrow(around, "band long, uid long, doc long, c int, open boolean, near binary"), "near")
+    sizes = near.groupBy("band").agg(F.count_if("open").alias("m"), F.count_if(~F.col("open")).alias("n")).filter("m > 0 and m + n > 1")
     sizes = sizes.select("band", *(F.ceil(F.col(x) / F.lit(block)).cast("int").alias(f"{x}b") for x in ("m", "n")))
     spread = lambda n: F.pmod(F.xxhash64("uid"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    dealt = parts.join(sizes, "band").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
+    dealt = near.join(sizes, "band").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("mb") + F.col("nb")).otherwise(F.col("mb")) - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "doc", "c", "open", "near")
 

@@ -2,7 +2,7 @@
 
 Lines (trimmed, without case) that are equal are one line before anything else. A line's shingles are all its runs of SHORT_WIDTH characters,
 whatever its length. The MinHash signature is the BOTTOM smallest hashes; each pair of them is a band, so two lines at the threshold of 0.8 miss
-each other with a probability of 2.7 %, at 0.9 of 0.4 %. The smallest line of a band leads; its members are verified against it by the exact
+each other with a probability of 0.7 %, at 0.9 of 0.05 %. The smallest line of a band leads; its members are verified against it by the exact
 Jaccard similarity of the shingles, and members that fail are compared with all other members in blocks within a row. The links go through
 distributed union-find, and the first line of each component stays.
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import components, join_hot, saved, table, text_of
 
-THRESHOLD, BOTTOM = 0.8, 4
+THRESHOLD, BOTTOM = 0.8, 5
 SHORT_WIDTH, BLOCK = 8, 32
 #: Lengths between which lines had two kinds of shingles; only tests still read them.
 SHORT, OVERLAP = 128, 168

@@ -201,6 +201,19 @@ def test_repeat_of_an_explained_text(spark):
         assert (10 * f + 1, 10 * f) in got and got[10 * f + 2, 10 * f + 1] >= 50
 
 
+def test_near_repetitions_in_a_large_band(spark):
+    rng = random.Random(5)
+    texts = []
+    for f in range(60):
+        one = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+        other = list(one)
+        other[60], other[90] = f"c{f}", f"d{f}"
+        texts += [(2 * f, " ".join(one)), (2 * f + 1, " ".join(other))]
+    rows = spark.createDataFrame([(7, 1, i, i, 70) for i, _ in texts], "band long, side int, uid long, doc long, c int")
+    got = {(r["uid"], r["lead"]) for r in compact_windows.nearest(rows, spark.createDataFrame(texts, "uid long, text string"), block=50).collect()}
+    assert got == {(2 * f + 1, 2 * f) for f in range(60)}
+
+
 def test_near_passages(spark):
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(120)]
