@@ -7,13 +7,14 @@ then cut every 4096 tokens. Queue places come from prefix sums over tasks and qu
 hot source is split over the tasks that read it. A source that runs dry sends its rest and leaves the round; the others go on.
 
 Results: null and empty texts are the end token alone; a null source is a queue of its own; repeated rows are packed as often as they occur;
-an empty table gives no rows. Beyond MAX_QUEUES sources, sources share queues by hash. Only doc_id, text and source are read.
+an empty table gives no rows. Beyond MAX_QUEUES sources, those with a target and the MAX_QUEUES with the most text are queues of their own, and
+the others share as many queues by hash. Only doc_id, text and source are read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,8 +29,8 @@ from marginalia.llm.word_bpe import WordBPE, default_path, slices
 LENGTH, END_ID, MAX_QUEUES = 4096, 2, 256
 #: Chunks of text whose ids a Python worker keeps; ROOM_BESIDE where other operators share the worker's memory.
 ROOM, ROOM_BESIDE = 700_000, 250_000
-#: Tokens of one round of the queues.
-WINDOW = 64 * LENGTH
+#: Tokens of one round of the queues: one sequence, so that each holds the mixture.
+WINDOW = LENGTH
 
 
 @dataclass
@@ -182,11 +183,16 @@ def by_library(path: str, room: int = ROOM) -> LibraryWords:
     return process_state(f"ids {path} {room}", lambda: LibraryWords(path, room))
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, room: int = ROOM) -> DataFrame:
-    """Rows part, doc_id, queue, n, before (the queue's tokens of this part ahead of the row), ids (16 bits each where the vocabulary allows)."""
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, room: int = ROOM, own: Iterable = ()) -> DataFrame:
+    """Rows part, doc_id, queue, n, before (the queue's tokens of this part ahead of the row), ids (16 bits each where the vocabulary allows).
+    Sources in ``own`` have queues of their own in any case."""
     few = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
     named = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
-    queue = named if few else F.concat(F.lit("h:"), F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string"))
+    queue = named
+    if not few:
+        largest = docs.groupBy(named.alias("queue")).agg(F.sum(F.length(text_of()) + F.lit(1)).alias("n")).orderBy(F.desc("n"), "queue").limit(MAX_QUEUES)
+        alone = sorted({r["queue"] for r in largest.collect()} | {f"s:{k}" for k in own})
+        queue = F.when(named.isin(alone), named).otherwise(F.concat(F.lit("h:"), F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, sent = by_library(path, room), TaskContext.get().partitionId(), {}
@@ -212,9 +218,9 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, int] | Non
     is repeated after a loss sees the same parts and places.
     """
     path = path or default_path()
-    rows = saved(tokenized(docs, path, room=room), "tokenized")
+    rows = saved(tokenized(docs, path, room=room, own=targets or ()), "tokenized")
     sums = saved(rows.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most twice MAX_QUEUES rows and the targets
     sched = schedule(totals, {f"s:{k}": v for k, v in targets.items()} if targets else None, window)
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))

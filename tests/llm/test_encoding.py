@@ -118,6 +118,25 @@ def test_mixture_in_every_window():
         assert all(abs(share[w, q] - 1000 * weights[q] / 4) <= 2 for q in totals)
 
 
+def test_mixture_in_every_sequence(spark):
+    rows = spark.createDataFrame([(i, "word " * 60, f"s{i % 10}") for i in range(1500)], "doc_id long, text string, source string")
+    share: dict = {}
+    for r in packing.pack(rows).collect():
+        share[r["sequence_id"], r["queue"]] = share.get((r["sequence_id"], r["queue"]), 0) + r["length"]
+    whole = sum(share.values()) // packing.LENGTH
+    assert whole > 4 and all(abs(share.get((w, f"s:s{q}"), 0) - packing.LENGTH / 10) <= 20 for w in range(whole) for q in range(10))
+
+
+def test_targets_among_many_sources(spark):
+    rows = [(i, "word " * 40, "large" if i % 3 == 0 else "wanted" if i % 60 == 1 else f"s{i}") for i in range(1500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets={"wanted": 10**6}).collect()
+    queues = {r["doc_id"]: r["queue"] for r in got}
+    assert all(queues[i] == f"s:{source}" for i, _, source in rows if source in ("large", "wanted")) and any(q.startswith("h:") for q in queues.values())
+    wanted = [r for r in got if r["queue"] == "s:wanted"]
+    assert {r["sequence_id"] for r in wanted} == set(range(max(r["sequence_id"] for r in wanted) + 1))  # first of all, by its large target
+    assert sum(r["length"] for r in got if r["sequence_id"] == 0 and r["queue"] == "s:wanted") > 0.5 * min(packing.LENGTH, sum(r["length"] for r in wanted))
+
+
 def test_packing_of_nothing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
