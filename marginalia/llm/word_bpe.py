@@ -26,7 +26,7 @@ from marginalia.llm.common import process_state, table, text_of
 
 END = "</w>"
 NEVER = (1 << 60, -1)
-#: Code points below this are stable under NFC and are handled without the library's normaliser, except U+0130.
+#: Code points below this are stable under NFC and are handled without the library's normaliser, except those of which ``_is_plain`` says no.
 PLAIN = 0x250
 #: Chunks between white space that a process keeps; beyond them it keeps a fifth as many for a while.
 CACHED_WORDS = 700_000
@@ -58,6 +58,13 @@ def _plain_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{others}]+")
 
 
+def _is_plain(c: int) -> bool:
+    """Whether a code point below PLAIN and its lower case are one letter that the word pattern knows. Capitals such as U+018F have their small
+    letter beyond PLAIN, that of U+0130 is two code points, and the separators U+001C to U+001F are white space to Python alone."""
+    low = chr(c).lower()
+    return c > 0 and not 0x1C <= c <= 0x1F and len(low) == 1 and ord(low) < PLAIN
+
+
 class Index(dict):
     """Table rows of chunks; a chunk that is met first gets the next row and waits in ``pending`` to be encoded."""
 
@@ -141,7 +148,7 @@ class WordBPE:
         self.bytes_of = _byte_chars()
         self.to_chars = {b: c for b, c in enumerate(self.bytes_of)}
         self.plain = _plain_pattern()
-        self.is_plain = re.compile(f"[\x01-\x1b\x20-įı-{chr(PLAIN - 1)}]*")
+        self.is_plain = re.compile("[" + "".join(re.escape(chr(c)) for c in range(PLAIN) if _is_plain(c)) + "]*")
         self.path = path
         self.sound: dict[int, bool] = {}
         self.index, self.order, self.base = Index(), [], None
@@ -291,7 +298,13 @@ class WordBPE:
         new, self.index.pending = self.index.pending, []
         if not new:
             return
-        got = list(self._learned(new))
+        try:
+            got = list(self._learned(new))
+        except BaseException:
+            # No chunk may keep a row that was never filled.
+            for k in new:
+                del self.index[k]
+            raise
         self.ids.add(got)
         if self.said is not None:
             tokens = self.token_bytes

@@ -48,6 +48,43 @@ def test_bpe_on_any_text(library, texts):
         assert said.decode() == library.decode(want, skip_special_tokens=False) == own.decode(ids)
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    return word_bpe.WordBPE(word_bpe.default_path()), packing.LibraryWords(word_bpe.default_path(), 5000)
+
+
+LETTERS = st.one_of(st.characters(min_codepoint=0x180, max_codepoint=0x2FF), st.characters(max_codepoint=0x17F), st.sampled_from(["<|", "|>", "<|endoftext|>", "'s", " ", "\x1c", "\u0130"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(LETTERS, max_size=24).map("".join), min_size=8, max_size=8))
+def test_ids_of_letters_beyond_latin_1(library, encoders, texts):
+    own, other = encoders
+    for t, (ids, said), raw in zip(texts, own.encode_decode_many(texts), other.encode_many(texts), strict=True):
+        want = ids_of(library, t)
+        assert np.frombuffer(ids, "<u4").tolist() == want == raw.tolist()
+        assert said.decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_every_plain_letter_and_its_capital(library, encoders):
+    texts = [x for c in range(1, 0x300) for x in (chr(c), f"a{chr(c)}li", f"a<|{chr(c)}x {chr(c)}")]
+    own, other = encoders
+    for t, (ids, _), raw in zip(texts, own.encode_decode_many(texts), other.encode_many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(library, t) == raw.tolist(), t
+
+
+def test_tables_survive_a_failure(library, monkeypatch):
+    own = word_bpe.WordBPE(word_bpe.default_path())
+    list(own.encode_many(["some words"]))
+    with monkeypatch.context() as m:
+        m.setattr(own, "_learned", lambda keys: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            list(own.encode_many(["some other words here"]))
+    assert set(own.index) == {"some", "words"} and not own.index.pending
+    (ids,) = own.encode_many(["other some here"])
+    assert ids.tolist() == ids_of(library, "other some here")
+
+
 def test_pairs_by_exact_merging():
     own = word_bpe.WordBPE(word_bpe.default_path())
     rng = random.Random(3)
