@@ -15,6 +15,8 @@ from marginalia.session import ship
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch.
 BATCH = 1000
+#: Bytes of a row group of scratch tables, which a task holds while it writes.
+ROW_GROUP = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,7 +32,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared scratch folder and read again: lineage is cut and a lost executor costs a read."""
     prepared(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     # Spark drops the shuffle files of finished steps when the driver's JVM collects its garbage, which a small driver seldom does by itself.
     df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ digest. Payloads are stored once in content-addressed form, as 8-bit grey PGM im
 a join on the digest then attaches them to the references, so positions and captions stay with their payload. Only digests and features travel
 through the join, and digests that very many references share are joined by broadcast.
 
+Rows go to and from Python in lots of about LOT bytes, whatever the number of rows, so that memory is bounded by the longest payload.
+
 Results: null texts and HTML count as empty; an unknown digest leaves the media fields null; repeated rows give repeated rows; an empty table
 gives no rows. Only the named columns are read, so others cannot clash.
 """
@@ -25,6 +27,8 @@ from marginalia.llm.common import join_hot, saved, table, text_of
 
 WIDTH = 64
 SCHEME = "sha256:"
+#: Bytes of payloads that a task holds before it gives them on.
+LOT = 2 << 20
 SKIPPED = {"script", "style", "template", "noscript", "head"}
 BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "th", "table", "section", "article", "figure", "figcaption", "nav", "header", "footer", "blockquote", "pre", "body", "html"}
 
@@ -104,8 +108,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(F.col(key).cast("long").alias(key), text_of(html).alias(html)).mapInArrow(run, f"{key} long, items array<struct<position int, kind string, text string, ref string, caption string>>")
 
 
-def payload_of(text: str) -> bytes:
-    raw = text.encode("utf-8")
+def payload_of(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % WIDTH if raw else WIDTH)
 
 
@@ -124,12 +127,15 @@ def from_pgm(media: bytes) -> tuple[int, int, bytes]:
 def feature_of(width: int, height: int, samples: bytes) -> str:
     """Size, mean, deviation, and a 64-bit difference hash over an 8 by 9 grid of block means, of the samples read back."""
     image = np.frombuffer(samples, np.uint8)
-    total = int(image.sum(dtype=np.int64))
-    squares = int((image.astype(np.int64) ** 2).sum())
     n = len(image)
+    levels, counts = np.arange(256), np.bincount(image, minlength=256)
+    total, squares = int(counts @ levels), int(counts @ levels**2)
     edges = np.arange(73) * n // 72
-    sums = np.concatenate(([0], np.cumsum(image, dtype=np.int64)))
-    cells = (sums[edges[1:]] - sums[edges[:-1]]) * 1000 // np.maximum(1, edges[1:] - edges[:-1])
+    # Empty cells, which images of less than 72 samples have, count as 0.
+    sizes = edges[1:] - edges[:-1]
+    sums = np.zeros(72, np.int64)
+    sums[sizes > 0] = np.add.reduceat(image, edges[:-1][sizes > 0], dtype=np.int64)
+    cells = sums * 1000 // np.maximum(1, sizes)
     grid = cells.reshape(8, 9)
     bits = (grid[:, 1:] > grid[:, :-1]).reshape(-1)
     dhash = int("".join("1" if b else "0" for b in bits), 2)
@@ -140,17 +146,24 @@ def store(texts: DataFrame, name: str = "media") -> DataFrame:
     """The media table (digest, n_bytes, media), written to the shared folder: payloads of the texts, once for each digest and reading task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lot(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["digest", "n_bytes", "media"])
+
         seen: set[bytes] = set()
         for batch in batches:
-            out: list[list] = [[], [], []]
+            rows, size = [], 0
             for text in batch.column(0):
-                text = text.as_py()
-                digest = hashlib.sha256(text.encode("utf-8")).digest()
+                raw = text.as_py().encode("utf-8")
+                digest = hashlib.sha256(raw).digest()
                 if digest not in seen:
                     seen.add(digest)
-                    for o, v in zip(out, (digest.hex(), len(text.encode("utf-8")), to_pgm(payload_of(text))), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["digest", "n_bytes", "media"])
+                    rows.append((digest.hex(), len(raw), to_pgm(payload_of(raw))))
+                    size += len(raw)
+                if size >= LOT:
+                    yield lot(rows)
+                    rows, size = [], 0
+            yield lot(rows)
 
     return saved(texts.select(text_of().alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary"), name)
 
@@ -177,6 +190,19 @@ def described(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, FEATURES).dropDuplicates(["digest"])
 
 
+def sequences(pages: DataFrame, features: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key`` and ``items`` of each page in reading order, with the features of every payload beside its reference: array of struct(position, kind,
+    text, ref, caption, payload_sha256, media_bytes, feature), the last three null for texts and for references that no payload answers. Rows
+    that repeat a page keep a sequence each."""
+    found = saved(interleave(pages, key, html).withColumn("_row", F.monotonically_increasing_id()), "sequences")
+    own = ["payload_sha256", "media_bytes", "feature"]
+    payloads = resolve(found.drop(key).withColumnRenamed("_row", key), features, key).select(F.col(key).alias("_row"), F.struct("position", *own).alias("m"))
+    by_page = payloads.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("m.position", "m"))).alias("_media"))
+    at = lambda i, name: F.try_element_at("_media", i["position"])[name].alias(name)
+    whole = F.transform("items", lambda i: F.struct(*(i[n].alias(n) for n in ITEM.names), *(at(i, n) for n in own)))
+    return found.join(by_page, "_row", "left").select(key, whole.alias("items"))
+
+
 def resolve(sequences: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """One row per media reference: ``key``, position, ref, caption and the features of its payload, null where the digest is unknown."""
     refs = sequences.select(key, F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("item")).select(

@@ -1,5 +1,7 @@
 import hashlib
+import html as html_lib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -217,6 +219,55 @@ def test_media(spark, docs):
     assert same[0]["feature"] == same[1]["feature"]
 
 
+def test_sequences_of_pages(spark, small, monkeypatch):
+    """The pages of the sample tables, with references put into them, against a parse by tags alone and the payloads at hand."""
+    monkeypatch.setattr(media, "LOT", 2000)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(9).collect()]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = []
+    for k, r in enumerate(spark.read.parquet(f"{small}/pages.parquet").orderBy("page_id").collect()):
+        mark = f'<figure><img src="sha256:{digest(texts[k % 9])}" alt="x"><figcaption>Cap {k}</figcaption></figure><img src="sha256:{"0" * 64}" alt="none"><img src="sha256:{digest(texts[0])}">'
+        rows.append((r["page_id"], r["html"].replace("</h1>", "</h1>" + mark, 1), "clash", 1))
+    rows.append((None, None, "clash", 2))
+    rows.append(rows[0])
+    features = media.described(media.store(spark.createDataFrame([(t,) for t in texts], "text string")))
+    got = media.sequences(spark.createDataFrame(rows, "page_id long, html string, items string, digest int"), features).collect()
+    assert sorted(map(str, (r["page_id"] for r in got))) == sorted(str(r[0]) for r in rows)
+    blocks = "|".join(sorted(media.BLOCKS, key=len, reverse=True))
+    want = {}
+    for page, page_html, *_ in rows:
+        body = re.sub(r"(?s)<(script|style|head)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", page_html or "")
+        items = []
+        for part in re.split(rf"(<figure>.*?</figure>|<img[^>]*>)|</?(?:{blocks})\b[^>]*>", body):
+            part = part or ""
+            if src := re.search(r'<img src="([^"]+)"(?: alt="([^"]+)")?', part):
+                cap = re.search("<figcaption>(.*?)</figcaption>", part)
+                items.append(("media", None, src[1], cap[1] if cap else src[2]))
+            elif text := " ".join(html_lib.unescape(re.sub(r"<[^>]+>", "", part)).split()):
+                items.append(("text", text, None, None))
+        want[page] = items
+    known = {digest(t): t for t in texts}
+    for r in got:
+        assert [(i["kind"], i["text"], i["ref"], i["caption"]) for i in r["items"]] == want[r["page_id"]]
+        for k, i in enumerate(r["items"]):
+            assert i["position"] == k
+            t = known.get((i["ref"] or "")[7:])
+            payload = media.payload_of(t.encode()) if t is not None else None
+            assert (i["payload_sha256"], i["media_bytes"]) == ((hashlib.sha256(payload).hexdigest(), len(media.to_pgm(payload))) if t is not None else (None, None))
+    assert any(i["payload_sha256"] for r in got for i in r["items"])
+
+
+def test_features_by_hand():
+    rng = np.random.default_rng(1)
+    for n in (64, 128, 64 * 40):
+        raw = rng.integers(0, 256, n).astype(np.uint8)
+        values = raw.tolist()
+        cells = [sum(values[a:z]) * 1000 // max(1, z - a) for a, z in ((k * n // 72, (k + 1) * n // 72) for k in range(72))]
+        bits = "".join("1" if cells[9 * r + c + 1] > cells[9 * r + c] else "0" for r in range(8) for c in range(8))
+        total, squares = sum(values), sum(v * v for v in values)
+        assert media.feature_of(64, n // 64, raw.tobytes()) == f"64x{n // 64};mean={total * 1000 // n};var={(squares * n - total * total) * 100 // (n * n)};dhash={int(bits, 2):016x}"
+
+
 def test_interleaving(spark):
     html = '<body><p>One &amp; <b>two</b></p><script>var x="<p>no</p>"</script><figure><img src="sha256:ab"><figcaption>Cap <i>x</i></figcaption></figure><img src="u" alt="A"><p>End'
     got = media.parse(html)
