@@ -226,14 +226,9 @@ def test_near_passages(spark):
     assert text[got[0]["start"] : got[0]["end"]].split()[0] == "p0" and text[got[0]["start"] : got[0]["end"]].split()[-1] == "p119"
 
 
-def line_sets(line):
+def line_set(line):
     low = line.strip(" \t\r\x0b\x0c").lower()
-    out = {}
-    if len(low) <= line_dedup.OVERLAP:
-        out[0] = {low[i : i + 8] for i in range(len(low) - 7)} or {low}
-    if len(low) > line_dedup.SHORT:
-        out[1] = {low[i : i + 12] for i in range(len(low) - 11) if i == 0 or low[i - 1] == " "} or {low}
-    return low, out
+    return low, {low[i : i + 8] for i in range(len(low) - 7)} or {low}
 
 
 def test_lines(spark):
@@ -244,14 +239,14 @@ def test_lines(spark):
     texts += [(i, long_line.replace(" ", f" q{i} ", 1)) for i in range(40, 60)] + [(60, "short"), (61, "short"), (61, "short"), (62, "Thiss line stands in very many documents indeed.")]
     texts += [(70, "He " * 400), (71, "He " * 90)]
     got = line_dedup.kept_lines(table(spark, texts)).collect()
-    lines = sorted((10**9 if i is None else i, k, *line_sets(x)) for i, t in texts for k, x in enumerate((t or "").split("\n")))
+    lines = sorted((10**9 if i is None else i, k, *line_set(x)) for i, t in texts for k, x in enumerate((t or "").split("\n")))
     assert len(got) == len(lines)
     first: dict = {}
     for i, k, low, sets in lines:
         if low:
             first.setdefault(low, (i, k, sets))
     own = list(first.items())
-    alike = lambda a, b: any(len(a[n] & b[n]) >= 0.8 * len(a[n] | b[n]) for n in a.keys() & b.keys())
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     root = union(len(own), [(a, b) for a in range(len(own)) for b in range(a) if alike(own[a][1][2], own[b][1][2])])
     best: dict = {}
     for r, (_, (i, k, _)) in zip(root, own, strict=True):
@@ -274,9 +269,8 @@ def test_long_lines_by_all_runs(spark):
     assert got == {**{i: (True, i) for i in range(15)}, 50: (True, 50), 51: (False, 50), 52: (True, 52)}
 
 
-def test_lines_linked_through_a_linked_one(spark, monkeypatch):
+def test_lines_linked_through_a_linked_one(spark):
     """Two lines that are like a third one but not like each other are one component, whichever of the three leads their only band."""
-    monkeypatch.setattr(line_dedup, "BOTTOM", 1)
     rng = random.Random(12)
     texts = []
     for f in range(60):
@@ -284,18 +278,64 @@ def test_lines_linked_through_a_linked_one(spark, monkeypatch):
         one, two = list(own), list(own)
         one[20:30], two[150:160] = "0123456789", "9876543210"
         texts += [(3 * f + i, "".join(x)) for i, x in enumerate((one, own, two))]
-    sigs = {r["doc_id"]: r["sig"] for r in line_dedup.signed(line_dedup.lines_of(table(spark, texts))).collect()}
+    sigs = {r["doc_id"]: r["b0"] for r in line_dedup.signed(table(spark, texts), 1, 1).collect()}
     met = [f for f in range(60) if sigs[3 * f] == sigs[3 * f + 1] == sigs[3 * f + 2]]
     assert len(met) > 20
-    got = line_dedup.kept_lines(table(spark, [t for t in texts if t[0] // 3 in met])).collect()
+    got = line_dedup.kept_lines(table(spark, [t for t in texts if t[0] // 3 in met]), 1, 1).collect()
     assert all(r["keep_doc_id"] == r["doc_id"] // 3 * 3 for r in got)
 
 
 def test_line_blocks(spark):
-    sets = spark.createDataFrame([(i, list(range(i, i + 20))) for i in range(50)], "code long, set array<long>")
+    rng = random.Random(3)
+    words = [f"{rng.randrange(10**8):08d}" for _ in range(70)]
+    lines = {i: "".join(words[i : i + 20]) for i in range(50)}
+    texts = spark.createDataFrame(list(lines.items()), "code long, line string")
     rest = spark.createDataFrame([(i, 5) for i in range(50)], "code long, band long")
-    got = {(r["a"], r["b"]) for r in line_dedup.among(rest, sets, block=7).collect()}
-    assert got == {(i, j) for i in range(50) for j in range(i) if i - j <= 2}
+    like = {(i, j) for i in lines for j in range(i) if (lambda a, b: len(a & b) >= 0.8 * len(a | b))(line_set(lines[i])[1], line_set(lines[j])[1])}
+    assert len(like) > 90
+    for block, chars in ((7, 1 << 19), (256, 900), (256, 1 << 19)):
+        got = [(r["a"], r["b"]) for r in line_dedup.among(rest, texts, block, chars).collect()]
+        assert {(max(p), min(p)) for p in got} <= like and union(50, got) == union(50, like)
+    # Members that are not open are compared with open ones alone.
+    some = spark.createDataFrame([(i, 5, i % 4 == 0, i) for i in range(50)], "code long, band long, open boolean, root long")
+    for block in (7, 256):
+        got = [(r["a"], r["b"]) for r in line_dedup.among(some, texts, block).collect()]
+        assert union(50, got) == union(50, [p for p in like if p[0] % 4 == 0 or p[1] % 4 == 0])
+
+
+def test_min_hashes_of_pieces(monkeypatch):
+    rng = random.Random(2)
+    lines = ["", "short", "x" * 500, *("".join(rng.choice("abcdefg é中🙂") for _ in range(rng.choice([5, 8, 9, 60, 3000]))) for _ in range(80))]
+    want = [[int((np.unique(line_dedup.shingle_hashes(line_dedup.filled(x))) * k).min()) for k in line_dedup._KEYS[:10]] for x in lines]
+    for run in (1 << 15, 40, 300):
+        monkeypatch.setattr(line_dedup, "RUN", run)
+        assert line_dedup.min_hashes(lines, 10).T.tolist() == want
+    same = defaultdict(set)
+    for x in lines:
+        f = line_dedup.filled(x)
+        for i, h in enumerate(line_dedup.shingle_hashes(f).tolist()):
+            same[h].add(f[i : i + 8])
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_line_recall(spark):
+    """Pairs of lines just above the threshold, by themselves: nearly all are found, and no pair below it."""
+    rng = random.Random(14)
+    own = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)]
+    texts, want = [], {}
+    for f in range(1500):
+        one = own(rng.randint(60, 300))
+        other, k = list(one), rng.randint(1, 3 + len(one) // 60)
+        for _ in range(k):
+            other[rng.randrange(len(one))] = rng.choice("0123456789")
+        a, b = (line_set("#" + "".join(x))[1] for x in (one, other))
+        want[f] = len(a & b) / len(a | b)
+        texts += [(2 * f, "#" + "".join(one)), (2 * f + 1, "#" + "".join(other))]
+    found = {r["doc_id"] // 2 for r in line_dedup.kept_lines(table(spark, texts)).collect() if not r["kept"]}
+    near = {f for f, j in want.items() if j >= 0.8}
+    edge = {f for f in near if want[f] < 0.9}
+    assert found <= near and len(near) > 300 and len(edge) > 80
+    assert len(found & near) >= 0.98 * len(near) and len(found & edge) >= 0.95 * len(edge)
 
 
 def test_union_find(spark):
