@@ -2,7 +2,7 @@
 
 Lines (trimmed, without case) that are equal are one line before anything else. A line's shingles are all its runs of WIDTH characters, whatever
 its length. BANDS bands of ROWS min-hashes each bring lines together; two lines at the threshold of 0.8 miss each other with a probability of
-0.6 %, at 0.9 of 0.03 %. The smallest line of a band leads; its members are verified against it by the exact Jaccard similarity of the shingles,
+0.5 %, at 0.9 of 0.01 %. The smallest line of a band leads; its members are verified against it by the exact Jaccard similarity of the shingles,
 and members that fail are compared with all other members in blocks. The links go through distributed union-find, and the first line of each
 component stays.
 
@@ -28,7 +28,7 @@ from marginalia.llm.chosen_path import forest, shared_counts
 from marginalia.llm.common import components, discard, join_hot, saved, table, text_of
 from marginalia.llm.shingles import mix
 
-THRESHOLD, BANDS, ROWS, WIDTH = 0.8, 5, 2, 8
+THRESHOLD, BANDS, ROWS, WIDTH = 0.8, 10, 4, 8
 BLOCK, BLOCK_CHARS = 256, 1 << 19
 #: Characters that are hashed at once, and lines whose hash a task remembers, to sign most repeated lines once.
 RUN, SEEN = 1 << 15, 1 << 18
@@ -239,7 +239,7 @@ def kept_lines(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Dat
     # Different lines get a number, which is fixed by writing it down.
     once = saved(first.withColumn("id", F.monotonically_increasing_id()), "once")
     banded = once.select(F.col("id").alias("code"), F.explode(F.array(*keys)).alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("code").alias("lead"), F.max("code").alias("last"), F.count(F.lit(1)).alias("_n")).filter("lead < last").drop("last")
+    leaders = banded.groupBy("band").agg(F.min("code").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     leaders = saved(leaders, "leaders")
     met = saved(join_hot(banded, leaders.drop("_n"), "band", "inner", counts=leaders.select("band", "_n")).filter("code <> lead").select("code", "band", "lead"), "met")
     # The texts of the lines that met another one.
