@@ -3,7 +3,7 @@
 Lines (trimmed, without case) that are equal are one line before anything else. A line's shingles are all its runs of WIDTH characters, whatever
 its length. BANDS bands of ROWS min-hashes each bring lines together; two lines at the threshold of 0.8 miss each other with a probability of
 0.5 %, at 0.9 of 0.01 %. The smallest line of a band leads; its members are verified against it by the exact Jaccard similarity of the shingles,
-and members that fail are compared with all other members in blocks. The links go through distributed union-find, and the first line of each
+and members that no path of such links joins to it are compared with all other members in blocks. The links go through distributed union-find, and the first line of each
 component stays.
 
 Shingles are hashed and compared with numpy for many lines at once; in built-in functions that takes more CPU time by itself than the whole
@@ -32,6 +32,8 @@ THRESHOLD, BANDS, ROWS, WIDTH = 0.8, 10, 4, 8
 BLOCK, BLOCK_CHARS = 256, 1 << 19
 #: Characters that are hashed at once, and lines whose hash a task remembers, to sign most repeated lines once.
 RUN, SEEN = 1 << 15, 1 << 18
+#: Most words of the bitmap of lines to read again: 64 million bits, a million small rows to broadcast. Beyond that more lines pass it.
+SIEVE_WORDS = 1 << 20
 SPACE = " \t\r\x0b\x0c"
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -142,6 +144,16 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, f"doc_id long, line_no int, oid binary, {keys}line string")
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, most: int = SIEVE_WORDS) -> DataFrame:
+    """The rows of the wanted oids and a few more, by a bitmap of about 16 bits for each that is broadcast in words of 64, ``most`` at most."""
+    size = min(most, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
+    word, place = F.pmod(F.xxhash64("oid"), F.lit(size)).cast("int"), F.pmod(F.xxhash64(F.lit(1), "oid"), F.lit(64)).cast("int")
+    bit = F.expr("shiftleft(1L, place)")
+    words = wanted.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(bit).alias("bits"))
+    held = rows.withColumn("word", word).withColumn("place", place).join(F.broadcast(words), "word")
+    return held.filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "place", "bits")
+
+
 def sets_of(lines: list[str]) -> list[np.ndarray]:
     """The different shingles of each line, sorted."""
     return [np.unique(shingle_hashes(filled(x))) for x in lines]
@@ -177,8 +189,8 @@ def differing(members: DataFrame) -> DataFrame:
 
 
 def among(members: DataFrame, texts: DataFrame, block: int = BLOCK, chars: int = BLOCK_CHARS) -> DataFrame:
-    """Links (a, b) of the open members (code, band, open, root) of a band, which are unlike its leader, with all members of other components;
-    without columns ``open`` and ``root`` each is open and a component. Blocks meet pairwise, but those of members that are not open don't meet
+    """Links (a, b) of the open members (code, band, open, root) of a band, which are not in its leader's component, with all members of other
+    components; without columns ``open`` and ``root`` each is open and a component. Blocks meet pairwise, but those of members that are not open don't meet
     each other; a pair of blocks gives the edges of a spanning forest of its links."""
     if "open" not in members.columns:
         members = members.withColumn("open", F.lit(True)).withColumn("root", F.col("code"))
@@ -244,15 +256,18 @@ def kept_lines(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Dat
     met = saved(join_hot(banded, leaders.drop("_n"), "band", "inner", counts=leaders.select("band", "_n")).filter("code <> lead").select("code", "band", "lead"), "met")
     # The texts of the lines that met another one.
     codes = met.select("code").union(met.select("lead")).distinct().join(once.select(F.col("id").alias("code"), "oid"), "code")
-    texts = saved(rows.filter("line is not null").select("oid", "line").join(codes, "oid").select("code", "line").dropDuplicates(["code"]), "texts")
+    codes = saved(codes, "codes")
+    texts = sieved(rows.filter("line is not null").select("oid", "line"), codes).join(codes, "oid").select("code", "line")
+    texts = saved(texts.groupBy("code").agg(F.any_value("line").alias("line")), "texts")
     lead_lines = texts.select(F.col("code").alias("lead"), F.col("line").alias("lead_line"))
     pairs = saved(met.select("code", "lead").distinct(), "pairs")
     links = saved(alike(join_hot(pairs.join(texts, "code"), lead_lines, "lead", "inner", counts=pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")))), "links")
-    # Members that no link joins to their leader meet all others of the band, linked ones too.
+    # Members that no path of links joins to their leader meet all others of the band.
     edges = links.select(F.col("code").alias("a"), F.col("lead").alias("b"))
-    known = components(edges).withColumnRenamed("node", "code")
-    told = met.join(links.withColumn("linked", F.lit(True)), ["code", "lead"], "left").select("code", "band", F.col("linked").isNull().alias("open"))
-    told = saved(told.join(known, "code", "left").withColumn("root", F.coalesce("root", "code")), "told")
+    known = saved(components(edges), "known")
+    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    told = join_hot(met.join(root("code"), "code", "left"), root("lead"), "lead", "left").select("code", "band", F.coalesce("code_root", "code").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
+    told = saved(told.select("code", "band", "root", (F.col("root") != F.col("lead_root")).alias("open")), "told")
     discard(met)
     more = saved(among(saved(told.join(differing(told), "band", "left_semi"), "rest"), texts), "more")
     roots = components(edges.unionByName(more)).withColumnRenamed("node", "id")
