@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, join_hot, saved, table, text_of, without
+from marginalia.llm.common import components, join_hot, process_state, saved, table, text_of, unused, without
 from marginalia.llm.shingles import mix, shingle_sets
 
 THRESHOLD, RUNS, BRANCH, SPLIT, DEPTH = 0.8, 12, 1.5, 2.5, 2
@@ -67,6 +67,7 @@ def described(docs: DataFrame, runs: int = RUNS, branch: float = BRANCH, pool_si
     """Per row: doc_id, sig (null without words), n, paths, pool."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_state("sets")
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for s in shingle_sets(batch.column(1).to_pylist()):
@@ -267,5 +268,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, with all its columns."""
-    gone = saved(jaccard_links(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return without(docs.withColumn("_gone", F.col("doc_id").cast("long")), gone, "_gone").drop("_gone")
+    own = unused(docs, "_gone")
+    gone = saved(jaccard_links(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct(), "gone")
+    return without(docs.withColumn(own, F.col("doc_id").cast("long")), gone, own).drop(own)

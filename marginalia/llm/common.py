@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ ROW_GROUP = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; only where that is unset (tests) one under a temporary folder."""
+    """A new folder name under ``spark.checkpoint.dir``. Only a session within one process may leave that unset, and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -51,12 +56,15 @@ def discard(*tables: DataFrame) -> None:
 _state: dict = {}
 
 
-def process_state(name: str, make):
-    """What an operator keeps in a Python worker between tasks. A worker holds the state of one operator at a time, so that the stages of a
-    pipeline don't add up."""
+def process_state(name: str, make=lambda: None):
+    """What an operator keeps in a Python worker between tasks. A worker holds the state of one operator at a time, and gives freed memory back
+    to the system, so that the stages of a pipeline don't add up. Operators without state call this by their name alone."""
     if name not in _state:
         _state.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
         _state[name] = make()
     return _state[name]
 
@@ -78,22 +86,48 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with more underscores if the table has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 2000, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, whose ``key`` is unique.
 
-    A key with more than 1/``share`` of the left rows is hot. There are fewer than ``share`` of those, so their right rows are broadcast; all
-    other keys are joined by a shuffle. Both parts together are the whole join. ``counts``: (key, _n) where the rows of each key are counted
-    already.
+    A key with more than 1/``share`` of the left rows is hot. Its left rows are dealt over parts of that size by a hash of the whole row, and its
+    right row stands once for each part. There are fewer than ``share`` hot keys, and only these keys are broadcast. ``counts``: (key, _n) where
+    the rows of each key are counted already.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    hot = [r[key] for r in counts.filter(F.col("_n") > max(1000, total // share)).select(key).collect()]
-    hot = [k for k in hot if k is not None]
-    if not hot:
+    limit = max(1000, left.count() // share)
+    hot = counts.filter((F.col("_n") > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    found = hot.collect()
+    if not found:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
+#: Most words of the bitmap of ``sieved``: 64 million bits, a million small rows to broadcast. Beyond that more rows pass it.
+SIEVE_WORDS = 1 << 20
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, key: str, most: int = SIEVE_WORDS) -> DataFrame:
+    """The rows of the wanted keys and a few more, by a bitmap of about 16 bits for each key that is broadcast in words of 64, ``most`` at most.
+    It goes ahead of a join, which then moves fewer rows."""
+    size = min(most, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
+    word, place = F.pmod(F.xxhash64(key), F.lit(size)).cast("int"), F.pmod(F.xxhash64(F.lit(1), key), F.lit(64)).cast("int")
+    bit = F.expr("shiftleft(1L, _place)")
+    words = wanted.select(word.alias("_word"), place.alias("_place")).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+    held = rows.withColumn("_word", word).withColumn("_place", place).join(F.broadcast(words), "_word")
+    return held.filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_place", "_bits")
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.chosen_path import groups, shared_counts, signature
-from marginalia.llm.common import BROADCAST_ROWS, discard, join_hot, saved, table, text_of, without
+from marginalia.llm.common import BROADCAST_ROWS, discard, join_hot, process_state, saved, sieved, table, text_of, unused, without
 from marginalia.llm.shingles import SIZE, mix, shingles, words, words_of
 
 WORDS, HASHES, THRESHOLD, BLOCK = 50, 4, 0.8, 512
@@ -102,6 +102,7 @@ def described(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
         return [key.view(np.int64), span, (one << _U(32) | two).view(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_state("windows")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             all_words = [w[0] for w in words_of(texts)]
@@ -354,7 +355,7 @@ def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = near.groupBy("band").agg(F.count_if("open").alias("m"), F.count_if(~F.col("open")).alias("n")).filter("m > 0 and m + n > 1")
     sizes = sizes.select("band", *(F.ceil(F.col(x) / F.lit(block)).cast("int").alias(f"{x}b") for x in ("m", "n")))
     spread = lambda n: F.pmod(F.xxhash64("uid"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    dealt = near.join(sizes, "band").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
+    dealt = join_hot(near, sizes, "band", "inner").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("mb") + F.col("nb")).otherwise(F.col("mb")) - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "doc", "c", "open", "near")
 
@@ -429,8 +430,9 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     keyed = whole.select("doc_id", "sig", F.xxhash64("doc_id", "sig").alias("uid"), "windows")
     leads = without(keyed, copies.select(F.xxhash64("doc_id", "sig").alias("uid")).distinct(), "uid")
     spread = leads.select("uid", F.explode("windows").alias("w")).select("uid", "w.*")
-    again = spread.groupBy("key").agg(F.min("uid").alias("u1"), F.max("uid").alias("u2")).filter("u1 <> u2").select("key")
-    shared = saved(spread.join(again, "key"), "shared")
+    # Few keys come twice, so the others need not travel with their windows.
+    again = saved(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "again")
+    shared = saved(sieved(spread, again, "key").join(again, "key"), "shared")
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("near", 32).alias("near")), F.struct(F.lit(2).alias("side"), F.col("near").bitwiseAND(0xFFFFFFFF).alias("near")))).alias("x")
     banded = shared.select("uid", "key", "span", sides).filter("x.near <> 0").select(F.xxhash64("key", "x.side", "x.near").alias("band"), "x.side", "uid", "span")
     # The smallest document leads, so bands need the documents' order.
@@ -438,12 +440,13 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     banded = saved(banded.join(order.join(shared.select("uid").distinct(), "uid", "left_semi"), "uid"), "banded")
     discard(rows, shared)
     lead = F.min(F.struct("doc", F.col("uid").alias("lead"), F.col("span").alias("lead_span"))).alias("x")
-    leaders = banded.groupBy("band").agg(lead, F.max("uid").alias("u2"), F.min("uid").alias("u1")).filter("u1 <> u2").select("band", "x.lead", "x.lead_span")
+    leaders = banded.groupBy("band").agg(lead, F.max("uid").alias("u2"), F.min("uid").alias("u1"), F.count(F.lit(1)).alias("_n")).filter("u1 <> u2").select("band", "x.lead", "x.lead_span", "_n")
+    leaders = saved(leaders, "leaders")
     centre = lambda c: F.shiftright(c, 28)
     left = lambda c: (centre(c) - F.shiftright(c, 14).bitwiseAND(0x3FFF)).cast("int")
     right = lambda c: (centre(c) + F.col(c).bitwiseAND(0x3FFF)).cast("int")
     ends = [left("span").alias("l"), centre("span").cast("int").alias("c"), right("span").alias("r"), left("lead_span").alias("lead_l"), right("lead_span").alias("lead_r")]
-    met = saved(banded.join(leaders, "band").filter("uid <> lead").select("band", "side", "uid", "doc", "lead", *ends), "met")
+    met = saved(join_hot(banded, leaders.drop("_n"), "band", "inner", counts=leaders.select("band", "_n")).filter("uid <> lead").select("band", "side", "uid", "doc", "lead", *ends), "met")
     discard(banded)
     # Interval join: the windows that a text and a leader share over all hash functions and keys, as one pair of regions.
     regions = met.groupBy("uid", "lead").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("lead_l").alias("lead_l"), F.max("lead_r").alias("lead_r"))
@@ -507,13 +510,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return pd.Series([t if s is None else cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, lists, strict=True)])
 
     # Texts are found again by a built-in hash, so that no stage of Spark's runs two Python workers for a task.
+    key, own, cuts, new = (unused(docs, c) for c in ("_key", "_id", "_cuts", "_new"))
     keys = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), sig_of(text_of()).alias("sig")), "keys")
-    spans = keys.distinct().join(spans, keys["doc_id"].eqNullSafe(spans["doc_id"]) & (keys["sig"] == spans["sig"])).select(keys["doc_id"].alias("_own_id"), F.col("key").alias("_own_key"), "_spans")
+    spans = keys.distinct().join(spans, keys["doc_id"].eqNullSafe(spans["doc_id"]) & (keys["sig"] == spans["sig"])).select(keys["doc_id"].alias("own_id"), F.col("key").alias("own_key"), F.col("_spans").alias(cuts))
     spans = saved(spans, "spans")
     few = spans.count() <= BROADCAST_ROWS
-    held = docs.withColumn("_key", F.xxhash64(text_of())).withColumn("_id", F.col("doc_id").cast("long"))
-    joined = held.join(F.broadcast(spans) if few else spans, F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_key") == F.col("_own_key")), "left")
-    new = joined.withColumn("_new", without_spans(text_of(), F.col("_spans"))).filter(F.col("_spans").isNull() | F.col("_new").rlike("[A-Za-z0-9_\\x{80}-\\x{10FFFF}]"))
-    changed = F.col("_spans").isNotNull()
-    columns = [F.when(changed, F.col("_new")).otherwise(F.col(c)).alias(c) if c == "text" else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return new.select(*columns)
+    held = docs.withColumn(key, F.xxhash64(text_of())).withColumn(own, F.col("doc_id").cast("long"))
+    joined = held.join(F.broadcast(spans) if few else spans, held[own].eqNullSafe(spans["own_id"]) & (held[key] == spans["own_key"]), "left").drop(spans["own_id"], spans["own_key"])
+    made = joined.withColumn(new, without_spans(text_of(), F.col(cuts))).filter(F.col(cuts).isNull() | F.col(new).rlike("[A-Za-z0-9_\\x{80}-\\x{10FFFF}]"))
+    changed = F.col(cuts).isNotNull()
+    values = {"text": F.col(new), "n_chars": F.length(new)}
+    return made.select(*(F.when(changed, values[c].cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in docs.columns))

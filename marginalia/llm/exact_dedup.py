@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import saved, table, text_of, without
+from marginalia.llm.common import saved, table, text_of, unused, without
 
 #: Bytes of edge labels that a trie holds before it spills a subtree.
 BUDGET = 96 << 20
@@ -213,14 +213,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.struct("doc_id", "text_sha256")
     found = saved(exact_groups(docs), "groups")
     each = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = each.filter(~F.col("kept")).select(same.alias("_same"))
-    twice = each.filter("kept and n > 1").select(same.alias("_same"))
+    own = unused(docs, "_same")
+    gone = each.filter(~F.col("kept")).select(same.alias(own))
+    twice = each.filter("kept and n > 1").select(same.alias(own))
     norm = F.regexp_replace(text_of(), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
-    held = docs.withColumn("_same", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(norm.cast("binary"), 256).alias("text_sha256")))
-    left = without(held, gone, "_same")
+    held = docs.withColumn(own, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(norm.cast("binary"), 256).alias("text_sha256")))
+    left = without(held, gone, own)
     if not twice.isEmpty():
-        left = without(left, twice, "_same").unionByName(left.join(twice, "_same", "left_semi").dropDuplicates(["_same"]))
-    return left.drop("_same")
+        left = without(left, twice, own).unionByName(left.join(twice, own, "left_semi").dropDuplicates([own]))
+    return left.drop(own)
 
 
 ORACLE = r"""

@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.chosen_path import forest, shared_counts
-from marginalia.llm.common import components, discard, join_hot, saved, table, text_of
+from marginalia.llm.common import components, discard, join_hot, process_state, saved, sieved, table, text_of
 from marginalia.llm.shingles import mix
 
 THRESHOLD, BANDS, ROWS, WIDTH = 0.8, 10, 4, 8
 BLOCK, BLOCK_CHARS = 256, 1 << 19
 #: Characters that are hashed at once, and lines whose hash a task remembers, to sign most repeated lines once.
 RUN, SEEN = 1 << 15, 1 << 18
-#: Most words of the bitmap of lines to read again: 64 million bits, a million small rows to broadcast. Beyond that more lines pass it.
-SIEVE_WORDS = 1 << 20
 SPACE = " \t\r\x0b\x0c"
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -103,6 +101,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     names = ["doc_id", "line_no", "oid", *(f"b{i}" for i in range(bands)), "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_state("lines")
         seen: set[bytes] = set()
 
         def lot(ids: list, numbers: list, oids: list, new: list[tuple[int, str]]) -> pa.RecordBatch:
@@ -144,16 +143,6 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, f"doc_id long, line_no int, oid binary, {keys}line string")
 
 
-def sieved(rows: DataFrame, wanted: DataFrame, most: int = SIEVE_WORDS) -> DataFrame:
-    """The rows of the wanted oids and a few more, by a bitmap of about 16 bits for each that is broadcast in words of 64, ``most`` at most."""
-    size = min(most, max(1 << 10, 1 << (wanted.count() // 4).bit_length()))
-    word, place = F.pmod(F.xxhash64("oid"), F.lit(size)).cast("int"), F.pmod(F.xxhash64(F.lit(1), "oid"), F.lit(64)).cast("int")
-    bit = F.expr("shiftleft(1L, place)")
-    words = wanted.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(bit).alias("bits"))
-    held = rows.withColumn("word", word).withColumn("place", place).join(F.broadcast(words), "word")
-    return held.filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "place", "bits")
-
-
 def sets_of(lines: list[str]) -> list[np.ndarray]:
     """The different shingles of each line, sorted."""
     return [np.unique(shingle_hashes(filled(x))) for x in lines]
@@ -198,7 +187,7 @@ def among(members: DataFrame, texts: DataFrame, block: int = BLOCK, chars: int =
     parts = sized.groupBy("band", "open").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / chars)).cast("int").alias("parts"))
     sizes = parts.groupBy("band").agg(*(F.coalesce(F.max(F.when(F.col("open") == is_open, F.col("parts"))), F.lit(0)).alias(c) for c, is_open in (("mb", True), ("nb", False))))
     spread = lambda n: F.pmod(F.xxhash64("code"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    dealt = members.join(sizes, "band").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
+    dealt = join_hot(members, sizes, "band", "inner").withColumn("own", F.when(F.col("open"), spread("mb")).otherwise(F.col("mb") + spread("nb")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("mb") + F.col("nb")).otherwise(F.col("mb")) - 1)))
     dealt = dealt.join(texts, "code").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "code", "root", "own", "open", "line")
 
@@ -257,16 +246,16 @@ def kept_lines(docs: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Dat
     # The texts of the lines that met another one.
     codes = met.select("code").union(met.select("lead")).distinct().join(once.select(F.col("id").alias("code"), "oid"), "code")
     codes = saved(codes, "codes")
-    texts = sieved(rows.filter("line is not null").select("oid", "line"), codes).join(codes, "oid").select("code", "line")
+    texts = sieved(rows.filter("line is not null").select("oid", "line"), codes, "oid").join(codes, "oid").select("code", "line")
     texts = saved(texts.groupBy("code").agg(F.any_value("line").alias("line")), "texts")
     lead_lines = texts.select(F.col("code").alias("lead"), F.col("line").alias("lead_line"))
     pairs = saved(met.select("code", "lead").distinct(), "pairs")
-    links = saved(alike(join_hot(pairs.join(texts, "code"), lead_lines, "lead", "inner", counts=pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")))), "links")
+    links = saved(alike(join_hot(pairs, lead_lines, "lead", "inner").join(texts, "code")), "links")
     # Members that no path of links joins to their leader meet all others of the band.
     edges = links.select(F.col("code").alias("a"), F.col("lead").alias("b"))
     known = saved(components(edges), "known")
     root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    told = join_hot(met.join(root("code"), "code", "left"), root("lead"), "lead", "left").select("code", "band", F.coalesce("code_root", "code").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
+    told = join_hot(met, root("lead"), "lead").join(root("code"), "code", "left").select("code", "band", F.coalesce("code_root", "code").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root"))
     told = saved(told.select("code", "band", "root", (F.col("root") != F.col("lead_root")).alias("open")), "told")
     discard(met)
     more = saved(among(saved(told.join(differing(told), "band", "left_semi"), "rest"), texts), "more")

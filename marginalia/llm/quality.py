@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import process_state, table, text_of
+from marginalia.llm.common import process_state, table, text_of, unused
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, BLOCK = 5000, 64, 15, 256
 POWER, THRESHOLD = 4.0, 0.3
@@ -169,4 +169,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
     score = scorer(spark, train(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score(text_of())).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    own = unused(docs, "_score")
+    return docs.withColumn(own, score(text_of())).filter(F.col(own) >= THRESHOLD).drop(own)

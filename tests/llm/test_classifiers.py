@@ -56,7 +56,7 @@ ODD = [(1, None), (2, ""), (3, " \n"), (4, "word " * 20_000), (5, "x" * 50_000),
 
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 1, 0), (4, 0, 1), (5, 1, 0), (6, 0, 1)]])
 def test_odd_rows_and_few_labels(spark, labels, tmp_path):
-    docs = spark.createDataFrame([(i, t, "clash", 3) for i, t in ODD], "doc_id long, text string, score string, label int")
+    docs = spark.createDataFrame([(i, t, "clash", 3, "clash", 5) for i, t in ODD], "doc_id long, text string, score string, label int, _score string, _Score_ int")
     own = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = quality.train(docs, own)
     rows = docs.select("doc_id", quality.scorer(spark, model)(text_of()).alias("s")).collect()

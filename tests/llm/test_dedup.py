@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from marginalia.llm import chosen_path, common, compact_windows, exact_dedup, line_dedup
 from marginalia.llm.shingles import shingle_set, shingles, words
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, sig long"
+CLASHES = ["_gone", "_same", "_key", "_id", "_cuts", "_new", "_spans", "_score", "own_id", "own_key", "_part", "key"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, sig long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def prose(rng, n, vocabulary=400):
@@ -19,7 +20,7 @@ def prose(rng, n, vocabulary=400):
 
 
 def table(spark, texts):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 1, *CLASHES) for i, t in texts], SCHEMA)
 
 
 def union(n, links):
@@ -338,6 +339,15 @@ def test_line_recall(spark):
     assert len(found & near) >= 0.98 * len(near) and len(found & edge) >= 0.95 * len(edge)
 
 
+def test_sieve(spark):
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(5000)], "n long, key string")
+    wanted = rows.filter("n % 10 = 3").select("key")
+    got = {r["n"] for r in common.sieved(rows, wanted, "key").collect()}
+    assert got >= set(range(3, 5000, 10)) and len(got) < 800
+    assert common.sieved(rows, wanted, "key", 1).count() >= 500  # a full bitmap lets all rows through
+    assert common.sieved(rows, wanted.limit(0), "key").count() == 0
+
+
 def test_union_find(spark):
     rng = random.Random(9)
     chain = [(i, i + 1) for i in range(100)]
@@ -356,6 +366,8 @@ def test_hot_join(spark):
     got = common.join_hot(left, right, "k")
     assert got.count() == 3021 and got.filter("v = 1").count() == 3000 and got.filter("v = 2").count() == 1
     assert common.join_hot(left, right, "k", "inner").count() == 3001
+    few = common.join_hot(left, right, "k", share=3)  # one hot key in three parts
+    assert sorted(map(str, few.select("n", "k", "v").collect())) == sorted(map(str, left.join(right, "k", "left").select("n", "k", "v").collect()))
 
 
 @pytest.mark.parametrize("operator", [exact_dedup.exact_groups, chosen_path.jaccard_links, compact_windows.repeated_passages, line_dedup.kept_lines])

@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from marginalia.llm import quality
 from marginalia.llm.queries import ORACLE_SQL, QUERIES
@@ -24,6 +26,20 @@ def test_stages(spark, small, tmp_path):
     assert corpus_pipeline.run(spark, small).count() == pieces.count()
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, None), (None, "a b"), (2, "")]])
+def test_empty_and_null_documents(spark, small, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score string"
+    spark.createDataFrame([(i, t, None, None, None, "clash") for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) <= len(rows) and {r["doc_id"] for r in got} <= {i for i, _ in rows} and all(r["length"] == r["doc_tokens"] - r["start"] for r in got)
+    last = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        last = stage(spark, last, str(tmp_path))
+        assert last.columns == ["doc_id", "text", "lang", "source", "n_chars", "_score"]
+        assert last.count() <= len(rows)
+
+
 def test_clean_documents_stay(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     kept = quality.stage(spark, docs, small)
