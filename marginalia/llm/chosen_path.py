@@ -140,7 +140,7 @@ def shared_counts(lists: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
         return x @ x.T
     out = np.zeros((len(lists), len(lists)), np.float32)
     for k in range(strips):
-        x = incidence([t[(t % _U(strips)) == _U(k)] for t in lists])
+        x = incidence([t[(t % t.dtype.type(strips)) == k] for t in lists])
         out += x @ x.T
     return out
 

@@ -338,7 +338,8 @@ def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for uid, doc, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingles(words(text.encode("utf-8"))[0])
+                # Half of each hash is enough to choose by; what is chosen is verified on the words.
+                s = (shingles(words(text.encode("utf-8"))[0]) >> _U(32)).astype(np.uint32)
                 seen: dict[int, bytes] = {}
                 for x in at:
                     c = x["c"]
@@ -365,7 +366,7 @@ def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
             for _, members in batch_of:
                 members.sort(key=lambda m: (m[1], m[0], m[2]))
                 uid, _, c, is_open, lists = zip(*members, strict=True)
-                lists = [np.frombuffer(x, _U) for x in lists]
+                lists = [np.frombuffer(x, np.uint32) for x in lists]
                 may = np.tril(np.array(uid)[:, None] != np.array(uid)[None, :], -1) & np.array(is_open)[:, None]
                 if not may.any():
                     continue
@@ -387,7 +388,7 @@ def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
 def reach(lists: list[np.ndarray], centres: tuple[int, ...], may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many shingles of each pair that ``may`` be are the same in a row up to the centres (themselves left out), and from the centres on."""
     n = len(lists)
-    around = np.zeros((n, 2 * LEAST), _U)
+    around = np.zeros((n, 2 * LEAST), lists[0].dtype)
     there = np.zeros((n, 2 * LEAST), bool)
     for k, (s, c) in enumerate(zip(lists, centres, strict=True)):
         at = LEAST - min(c, LEAST)
