@@ -72,6 +72,7 @@ class KnowledgeBase:
         if index is not None:
             for name in PARTS[1:5]:
                 put(name, getattr(index, name))
+            index.release()
         if table is not None:
             put("vectors", table)
         self._point(parts)

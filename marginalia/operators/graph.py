@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.scratch import saved
+from marginalia.scratch import discard, saved
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -71,7 +71,9 @@ def clusters(edges: DataFrame) -> DataFrame:
         moved = labels.join(seen, "id").select("id", F.col("cluster").alias("old"), F.least("cluster", "near").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("cluster").alias("above"))
         new = saved(moved.join(jump, "to", "left").select("id", "old", F.least("to", F.coalesce("above", "to")).alias("cluster")))
+        discard(labels)
         labels = new.select("id", "cluster")
+        labels._scratch = new._scratch
         if new.filter("old <> cluster").isEmpty():
             return labels.select("cluster", "id")
 
@@ -128,6 +130,7 @@ def draw(notes: DataFrame, edges: DataFrame, seed: DataFrame, depth: int = 2, li
 
 def enrich(hits: DataFrame, notes: DataFrame, edges: DataFrame, depth: int = 2, per_depth: int = 3) -> DataFrame:
     """Hits (query_id, id, rank) with neighbors (number of different ones) and related: up to ``per_depth`` notes of each depth, by id."""
+    hits = saved(hits)
     seeds = hits.select("id").distinct()
     near = related(edges, seeds, depth)
     order = Window.partitionBy("seed", "depth").orderBy("id")

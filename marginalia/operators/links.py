@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import wiki_links
+from marginalia.scratch import saved
 
 #: Different link texts that the last tier may broadcast; more meet the titles by their first characters.
 FEW_LINKS = 2000
@@ -20,7 +21,7 @@ def resolve(texts: DataFrame, notes: DataFrame) -> DataFrame:
     """(link, target, tier) of different link texts: an id, else a title without case, else a part of a title; the smallest id of equals.
 
     The first two tiers are equi joins. Only texts that they leave are compared with parts of titles: by a broadcast of the texts when they are
-    few, else by an equi join on three characters that text and title share.
+    few, else by an equi join on the rarest three characters of each text.
     """
     links = texts.select("link").filter(F.coalesce(F.col("link"), F.lit("")) != "").distinct()
     titles = notes.select("id", F.lower("title").alias("title"))
@@ -32,9 +33,13 @@ def resolve(texts: DataFrame, notes: DataFrame) -> DataFrame:
     if left.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
         inside = titles.join(F.broadcast(left), F.contains(F.col("title"), F.col("low")))
     else:
-        gram = left.withColumn("gram", F.substring("low", 1, 3))
-        grams = titles.filter(F.length("title") > 0).withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.array(*(F.substring(F.col("title"), i, F.lit(n)) for n in (1, 2, 3))))))))
-        inside = grams.join(gram, "gram").filter(F.contains(F.col("title"), F.col("low")))
+        pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(F.col(c), i, F.lit(n)) for n in (1, 2, 3))))))
+        grams = saved(titles.filter(F.length("title") > 0).select("id", "title", F.explode(pieces("title")).alias("gram")))
+        # Each text waits at the rarest of its longest pieces; one that no title has tells that there is nothing to find.
+        many = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+        own = left.withColumn("gram", F.explode(F.filter(pieces("low"), lambda g: F.length(g) == F.least(F.lit(3), F.length("low")))))
+        rarest = own.join(many, "gram", "left").groupBy("link", "low").agg(F.min_by("gram", F.struct(F.coalesce("m", F.lit(0)), "gram")).alias("gram"))
+        inside = grams.join(rarest, "gram").filter(F.contains(F.col("title"), F.col("low")))
     by_part = inside.groupBy("link").agg(F.min("id").alias("target")).withColumn("tier", F.lit(3))
     return by_id.unionByName(by_title).unionByName(by_part)
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import keyword_matches, match_text, preview
+from marginalia.operators.vectors import in_blocks
+from marginalia.scratch import saved
 
 BASE, SPAN = 0.3, 0.3
+#: Texts whose keywords are broadcast at once.
+FEW_TEXTS = 2000
 
 
 def keywords(texts: DataFrame, top: int = 10) -> DataFrame:
@@ -33,13 +39,14 @@ def suggest(texts: DataFrame, notes: DataFrame, semantic: DataFrame, k: int = 5,
         semantic = semantic.join(exclude.select("id"), "id", "left_anti")
     near = semantic.filter((F.col("rank") <= 2 * k) & (F.col("score") >= threshold)).select("query_id", "id", F.round("score", 3).alias("score"), F.lit("semantic").alias("match_type"), F.lit(None).cast("array<string>").alias("matched_keywords"), F.col("rank").alias("place"))
     lists = keywords(texts, top_keywords).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("words"))
-    # A few texts meet all notes; each row gives the words it holds, so nothing but matches leaves the task.
-    held = notes.select("id", match_text(F.col("title"), F.col("tags"), F.col("content")).alias("text")).join(F.broadcast(lists), how="cross").withColumn("matched_keywords", matched(F.col("words"), F.col("text")))
+    # Blocks of texts meet all notes; each row gives the words it holds, so nothing but matches leaves the task.
+    own = notes.select("id", match_text(F.col("title"), F.col("tags"), F.col("content")).alias("text"))
+    held = reduce(DataFrame.unionByName, [own.join(F.broadcast(q), how="cross").withColumn("matched_keywords", matched(F.col("words"), F.col("text"))) for q in in_blocks(saved(lists), FEW_TEXTS)])
     scored = held.withColumn("raw", F.lit(BASE) + F.lit(SPAN) * F.size("matched_keywords") / F.size("words"))
     passed = scored.filter((F.size("matched_keywords") > 0) & (F.col("raw") >= threshold * 0.5)).join(near.select("query_id", "id"), ["query_id", "id"], "left_anti")
     have = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     order = Window.partitionBy("query_id").orderBy("id")
-    taken = passed.withColumn("n", F.row_number().over(order)).join(F.broadcast(have), "query_id", "left").filter(F.col("n") <= 2 * k - F.coalesce("have", F.lit(0)))
+    taken = passed.withColumn("n", F.row_number().over(order)).join(have, "query_id", "left").filter(F.col("n") <= 2 * k - F.coalesce("have", F.lit(0)))
     words = taken.select("query_id", "id", F.round("raw", 3).alias("score"), F.lit("keyword").alias("match_type"), "matched_keywords", (F.col("n") + 1_000_000).alias("place"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "place")
     ranked = near.unionByName(words).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("place")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import has_all_tags
 
 DIMENSION = 384
-#: Query vectors that one call may broadcast against the table.
+#: Query vectors that are broadcast against the table at once; more go in blocks of this size.
 FEW_QUERIES = 10_000
 
 
@@ -27,6 +29,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
 
 
+def unit(a: Column) -> Column:
+    """The vector in doubles and of length 1; a zero vector stays zero."""
+    length = F.sqrt(dot(a, a))
+    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: F.lit(0.0)))
+
+
+def in_blocks(queries: DataFrame, size: int, key: str = "query_id") -> list[DataFrame]:
+    """The queries in blocks of about ``size`` rows by a hash of their key, each small enough to be broadcast."""
+    n = queries.count()
+    if n <= size:
+        return [queries]
+    blocks = -(-n // (size // 2))
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def require_dimension(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:
     """The same vectors; a row of another size fails the job instead of being padded."""
     same = F.size(column) == dimension
@@ -39,9 +56,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, note_type: str |
         vectors = vectors.filter(F.col("type") == note_type)
     if tags:
         vectors = vectors.filter(has_all_tags(F.col("tags"), tags))
-    if queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
-        raise ValueError(f"more than {FEW_QUERIES} queries in one call")
-    near = vectors.select("id", "embedding").join(F.broadcast(queries.select("query_id", "vector")), how="cross").select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    table = vectors.select("id", unit(F.col("embedding")).alias("_unit"))
+    asked = queries.select("query_id", unit(F.col("vector")).alias("_asked"))
+    near = [table.join(F.broadcast(q), how="cross").select("query_id", "id", dot(F.col("_unit"), F.col("_asked")).alias("score")) for q in in_blocks(asked, FEW_QUERIES)]
+    near = reduce(DataFrame.unionByName, near)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "id", (1 - F.col("score")).alias("distance"), "score", "rank")
@@ -58,8 +76,9 @@ def hashed_bag(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
     return out / np.maximum(length, 1e-12)
 
 
-def encode(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed_bag, column: str = "text", dimension: int = DIMENSION, batch: int = 32) -> DataFrame:
-    """``embedding`` of a text column, in batches; a batch that the encoder fails on gets zero vectors."""
+def encode(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed_bag, column: str = "text", dimension: int = DIMENSION, batch: int = 32, failures=None) -> DataFrame:
+    """``embedding`` of a text column, in batches; a batch that the encoder fails on gets zero vectors. ``failures``, an accumulator of the session,
+    counts its texts, and the worker's log names the error."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -70,6 +89,9 @@ def encode(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed
                 try:
                     out += list(encoder(rows))
                 except Exception:
+                    logging.getLogger(__name__).exception("%d texts get zero vectors", len(rows))
+                    if failures is not None:
+                        failures.add(len(rows))
                     out += [np.zeros(dimension, np.float32)] * len(rows)
             yield pd.Series(out)
 
@@ -82,3 +104,8 @@ def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids, "id", "left_anti")
+
+
+def clear(vectors: DataFrame) -> DataFrame:
+    """A table of no vectors."""
+    return vectors.limit(0)

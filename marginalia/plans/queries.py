@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marginalia import admin
 from marginalia.functions import text as T
 from marginalia.operators import bm25, graph, links, maintain, metrics, search, suggest, vectors
+from marginalia.scratch import saved
 from marginalia.sinks import formats
 from marginalia.sources import git_log
 from marginalia.sources.tables import sample_notes, sample_vectors, turn_edges
@@ -22,8 +23,8 @@ from marginalia.streaming import indexer
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 K = 10
-#: Searches of the catalogue; the last has no token of the corpus.
-SEARCHES = ((1, "The thon and reatin of the anen"), (2, "und der die keit ung"), (3, "zzzqqq"))
+#: Texts that searches by keyword ask for, in turn; the last has no token of the corpus.
+SEARCHES = ("The thon and reatin of the anen", "und der die keit ung", "zzzqqq")
 
 
 def query(name: str, sql: str | None = None):
@@ -49,9 +50,9 @@ def _joined(c: str, by: str = ","):
 NOTES = """
 notes AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, 'Doc ' || doc_id AS title,
-    text || chr(10) || 'See [[Doc ' || ((doc_id * 3 + 1) % 1500) || ']], [[' || ((doc_id * 11 + 7) % 1500) || ']] and [[ doc ' || ((doc_id * 13 + 5) % 1500) || ' ]].' AS content,
+    text || chr(10) || 'See [[Doc ' || ((doc_id * 3 + 1) % (SELECT count(*) + count(*) // 2 FROM documents)) || ']], [[' || ((doc_id * 11 + 7) % (SELECT count(*) + count(*) // 2 FROM documents)) || ']] and [[ doc ' || ((doc_id * 13 + 5) % (SELECT count(*) + count(*) // 2 FROM documents)) || ' ]].' AS content,
     CASE doc_id % 3 WHEN 0 THEN 'fleeting' WHEN 1 THEN 'literature' ELSE 'permanent' END AS type,
-    lang, source, CAST((doc_id * 7 + 3) % 1500 AS VARCHAR) AS link1, CAST((doc_id * 5 + 1) % 1500 AS VARCHAR) AS link2
+    lang, source, CAST((doc_id * 7 + 3) % (SELECT count(*) + count(*) // 2 FROM documents) AS VARCHAR) AS link1, CAST((doc_id * 5 + 1) % (SELECT count(*) + count(*) // 2 FROM documents) AS VARCHAR) AS link2
   FROM documents)"""
 
 _TOKENS = r"list_concat(list_concat(regexp_extract_all(lower({0}), '[一-鿿]'), regexp_extract_all(lower({0}), '[a-z][a-z0-9_]{{0,20}}')), regexp_extract_all(lower({0}), '\d+'))"
@@ -59,7 +60,7 @@ _TOKENS = r"list_concat(list_concat(regexp_extract_all(lower({0}), '[一-鿿]'),
 BM25 = (
     NOTES
     + f""",
-searches AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in SEARCHES)}) v(query_id, q)),
+searches AS (SELECT CAST(vec_id AS INTEGER) AS query_id, CASE vec_id // 50 % 3 WHEN 0 THEN '{SEARCHES[0]}' WHEN 1 THEN '{SEARCHES[1]}' ELSE '{SEARCHES[2]}' END AS q FROM embeddings WHERE vec_id % 50 = 0),
 cut AS (SELECT id, ord, {_TOKENS.format("(title || ' ' || content)")} AS tokens FROM notes),
 docs AS (SELECT id, ord, len(tokens) AS dl FROM cut WHERE len(tokens) > 0),
 postings AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM cut) GROUP BY id, term),
@@ -81,7 +82,7 @@ def ranked(source: str, k: int) -> str:
 
 COSINE = """
 vecs AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-wantedv AS (SELECT query_id, e AS q FROM vecs JOIN (VALUES (1, '0'), (2, '7'), (3, '11')) v(query_id, vid) ON vid = id),
+wantedv AS (SELECT CAST(id AS INTEGER) AS query_id, e AS q FROM vecs WHERE CAST(id AS BIGINT) % 50 = 0),
 near AS (SELECT query_id, id, label, list_cosine_similarity(e, q) AS score FROM vecs, wantedv)"""
 
 
@@ -89,13 +90,16 @@ def near_ranked(k: int, where: str = "true") -> str:
     return f"(SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near WHERE {where}) WHERE rank <= {k})"
 
 
-def searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEARCHES), "query_id int, text string")
+def searches(spark: SparkSession, d: str) -> DataFrame:
+    """A query for every vector whose number is divisible by 50, with its text and its vector."""
+    v = sample_vectors(spark, d).filter("ord % 50 = 0")
+    text = F.element_at(F.array(*map(F.lit, SEARCHES)), (F.floor(F.col("ord") / 50) % 3 + 1).cast("int"))
+    return v.select(F.col("ord").cast("int").alias("query_id"), text.alias("text"), F.col("embedding").alias("vector"))
 
 
-def with_vectors(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame([(1, "0"), (2, "7"), (3, "11")], "query_id int, id string")
-    return searches(spark).join(sample_vectors(spark, d).join(F.broadcast(own), "id").select("query_id", F.col("embedding").alias("vector")), "query_id")
+def seeds_of(notes: DataFrame) -> DataFrame:
+    """The notes that graph queries start from."""
+    return notes.filter("ord % 50 = 0").select("id")
 
 
 def index_of(spark: SparkSession, d: str) -> bm25.Index:
@@ -110,10 +114,10 @@ def hits_out(df: DataFrame, *more: str) -> DataFrame:
 # Text
 
 
-@query("tokenize_counts", f"SELECT doc_id, CAST(len({_TOKENS.format('text')}) AS BIGINT) AS n_tokens, array_to_string(list_slice({_TOKENS.format('text')}, 1, 5), ' ') AS first_tokens FROM documents")
+@query("tokenize_counts", f"SELECT doc_id, CAST(len({_TOKENS.format('text')}) AS BIGINT) AS n_tokens, md5(array_to_string({_TOKENS.format('text')}, ' ')) AS tokens_md5 FROM documents")
 def _(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
 @query(
@@ -179,12 +183,12 @@ def _(spark, d):
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM {ranked('filled', K)}")
 def _(spark, d):
-    return hits_out(bm25.search(index_of(spark, d), searches(spark), K))
+    return hits_out(bm25.search(index_of(spark, d), searches(spark, d), K))
 
 
 @query("bm25_match_only", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM {ranked('hits', K)}")
 def _(spark, d):
-    return hits_out(bm25.search(index_of(spark, d), searches(spark), K, match_only=True))
+    return hits_out(bm25.search(index_of(spark, d), searches(spark, d), K, match_only=True))
 
 
 @query(
@@ -192,19 +196,19 @@ def _(spark, d):
     f"WITH {BM25}, picked AS (SELECT f.* FROM filled f JOIN notes n ON n.id = f.id WHERE n.lang = 'en' AND n.source = 'src1' AND n.type = 'literature') SELECT query_id, id, round(score, 6) AS score, rank FROM {ranked('picked', K)}",
 )
 def _(spark, d):
-    return hits_out(search.keyword(index_of(spark, d), searches(spark), K, sample_notes(spark, d), "literature", ["en", "src1"]))
+    return hits_out(search.keyword(index_of(spark, d), searches(spark, d), K, sample_notes(spark, d), "literature", ["en", "src1"]))
 
 
 @query("semantic_topk", f"WITH {COSINE} SELECT query_id, id, round(1 - score, 6) AS distance, round(score, 6) AS score, rank FROM {near_ranked(K)}")
 def _(spark, d):
-    found = vectors.search(vectors.require_dimension(sample_vectors(spark, d), 64), with_vectors(spark, d), K)
+    found = vectors.search(vectors.require_dimension(sample_vectors(spark, d), 64), searches(spark, d), K)
     return hits_out(found, _d("distance"))
 
 
 @query("semantic_filtered", f"WITH {COSINE} SELECT query_id, id, round(score, 6) AS score, rank FROM {near_ranked(K, 'label IN (1, 3)')}")
 def _(spark, d):
     v = sample_vectors(spark, d).filter("label IN (1, 3)")
-    return hits_out(vectors.search(v, with_vectors(spark, d), K))
+    return hits_out(vectors.search(v, searches(spark, d), K))
 
 
 @query(
@@ -213,7 +217,7 @@ def _(spark, d):
 )
 def _(spark, d):
     v = sample_vectors(spark, d).join(sample_notes(spark, d).select("id", "type", "tags"), "id")
-    return hits_out(vectors.search(v, with_vectors(spark, d), K, "permanent", ["en"]))
+    return hits_out(vectors.search(v, searches(spark, d), K, "permanent", ["en"]))
 
 
 @query(
@@ -240,18 +244,18 @@ HYBRID = f"WITH {BM25}, {COSINE}, {_rrf(near_ranked(20), ranked('filled', 20), K
 
 @query("hybrid_rrf", f"{HYBRID} SELECT query_id, id, round(score, 6) AS score, search_mode, rank FROM fused")
 def _(spark, d):
-    return hits_out(search.hybrid(index_of(spark, d), sample_vectors(spark, d), with_vectors(spark, d), K), "search_mode")
+    return hits_out(search.hybrid(index_of(spark, d), sample_vectors(spark, d), searches(spark, d), K), "search_mode")
 
 
 @query("hybrid_fallback_keyword", f"WITH {BM25}, {COSINE}, {_rrf(near_ranked(20, 'label > 1000'), ranked('filled', 20), K)} SELECT query_id, id, round(score, 6) AS score, search_mode, rank FROM fused")
 def _(spark, d):
-    return hits_out(search.hybrid(index_of(spark, d), sample_vectors(spark, d).filter("label > 1000"), with_vectors(spark, d), K), "search_mode")
+    return hits_out(search.hybrid(index_of(spark, d), sample_vectors(spark, d).filter("label > 1000"), searches(spark, d), K), "search_mode")
 
 
 @query("hybrid_fallback_semantic", f"WITH {COSINE} SELECT query_id, id, round(score, 6) AS score, 'semantic' AS search_mode, rank FROM {near_ranked(K)}")
 def _(spark, d):
     none = bm25.build(sample_notes(spark, d).select("id", "ord", F.lit("").alias("text")))
-    return hits_out(search.hybrid(none, sample_vectors(spark, d), with_vectors(spark, d), K), "search_mode")
+    return hits_out(search.hybrid(none, sample_vectors(spark, d), searches(spark, d), K), "search_mode")
 
 
 @query(
@@ -259,13 +263,13 @@ def _(spark, d):
     f"{HYBRID} SELECT query_id, id, title, type, lang || ',' || source AS tags, CASE WHEN length(content) > 300 THEN left(content, 300) || '...' ELSE content END AS document, round(score, 6) AS score, search_mode, rank FROM fused JOIN notes USING (id)",
 )
 def _(spark, d):
-    hits = search.search("hybrid", index_of(spark, d), sample_vectors(spark, d), with_vectors(spark, d), K)
+    hits = search.search("hybrid", index_of(spark, d), sample_vectors(spark, d), searches(spark, d), K)
     return hits_out(search.hydrate(hits, sample_notes(spark, d)), "title", "type", _joined("tags"), "document", "search_mode")
 
 
 @query("csv_hits", f"{HYBRID} SELECT id, title, type, round(score, 6) AS score, search_mode FROM fused JOIN notes USING (id)")
 def _(spark, d):
-    hits = search.search("hybrid", index_of(spark, d), sample_vectors(spark, d), with_vectors(spark, d), K)
+    hits = search.search("hybrid", index_of(spark, d), sample_vectors(spark, d), searches(spark, d), K)
     return formats.flat(formats.hit_rows(search.hydrate(hits, sample_notes(spark, d)).withColumn("score", F.round("score", 6))))
 
 
@@ -277,11 +281,11 @@ def _(spark, d):
     n = sample_notes(spark, d)
     index = bm25.remove(index_of(spark, d), n.filter("ord % 10 = 5").select("id"))
     again = n.filter("ord % 10 = 0").select("id", "ord", T.bm25_text(F.lit("Again"), F.col("content")).alias("text"))
-    return hits_out(bm25.search(bm25.upsert(index, again), searches(spark), K, match_only=True))
+    return hits_out(bm25.search(bm25.upsert(index, again), searches(spark, d), K, match_only=True))
 
 
 _SUGGEST = f"""
-texts AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id IN (3, 30, 300)),
+texts AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0),
 found AS (SELECT query_id, unnest(k) AS keyword, unnest(range(len(k))) AS pos FROM (SELECT query_id, regexp_extract_all(lower(text), '[一-鿿]{{2,10}}|[a-zA-Z][a-zA-Z0-9_]{{1,15}}') AS k FROM texts)),
 counted AS (SELECT query_id, keyword, count(*) AS count, min(pos) AS first FROM found WHERE keyword NOT IN ({_STOPS}) GROUP BY query_id, keyword),
 words AS (SELECT * FROM (SELECT query_id, keyword, row_number() OVER (PARTITION BY query_id ORDER BY count DESC, first) AS r FROM counted) WHERE r <= 10),
@@ -300,15 +304,15 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
     "WITH "
     + NOTES
     + ", "
-    + COSINE.replace("(1, '0'), (2, '7'), (3, '11')", "(3, '3'), (30, '30'), (300, '300')")
+    + COSINE
     + ", "
     + _SUGGEST
     + " SELECT query_id, id, score, match_type, matched_keywords, rank, CASE WHEN content <> '' THEN left(content, 150) || '...' ELSE '' END AS preview FROM best JOIN notes USING (id) WHERE rank <= 5",
 )
 def _(spark, d):
-    texts = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id IN (3, 30, 300)").select(F.col("doc_id").alias("query_id"), "text")
+    texts = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
     v = sample_vectors(spark, d)
-    q = v.filter("ord IN (3, 30, 300)").select(F.col("ord").alias("query_id"), F.col("embedding").alias("vector"))
+    q = v.filter("ord % 50 = 0").select(F.col("ord").alias("query_id"), F.col("embedding").alias("vector"))
     out = spark.createDataFrame([("5",)], "id string")
     got = suggest.suggest(texts, sample_notes(spark, d), vectors.search(v, q, 10), 5, 0.6, out)
     return got.select("query_id", "id", "score", "match_type", F.coalesce(F.array_join("matched_keywords", ","), F.lit("")).alias("matched_keywords"), F.col("rank").cast("long").alias("rank"), "preview")
@@ -362,26 +366,31 @@ def _(spark, d):
     return graph.stats(v, e).withColumn("avg_degree", F.round("avg_degree", 6))
 
 
-@query("graph_neighbors", f"{GRAPH}, {BOTH} SELECT id, other FROM both_ways WHERE id IN ('0', '10', '100')")
+@query("graph_neighbors", f"{GRAPH}, {BOTH} SELECT id, other FROM both_ways WHERE CAST(id AS BIGINT) % 50 = 0")
 def _(spark, d):
-    return graph.neighbors(links.edges(sample_notes(spark, d)), spark.createDataFrame([("0",), ("10",), ("100",)], "id string"))
+    n = sample_notes(spark, d)
+    return graph.neighbors(links.edges(n), seeds_of(n))
 
 
-BFS = f"{BOTH}, reached AS (SELECT id AS seed, id, 0 AS depth FROM notes WHERE id IN ('0', '10', '100') UNION SELECT r.seed, b.other, r.depth + 1 FROM reached r JOIN both_ways b ON b.id = r.id WHERE r.depth < 2), near AS (SELECT seed, id, min(depth) AS depth FROM reached GROUP BY seed, id HAVING min(depth) > 0)"
+BFS = f"{BOTH}, reached AS (SELECT id AS seed, id, 0 AS depth FROM notes WHERE CAST(id AS BIGINT) % 50 = 0 UNION SELECT r.seed, b.other, r.depth + 1 FROM reached r JOIN both_ways b ON b.id = r.id WHERE r.depth < 2), near AS (SELECT seed, id, min(depth) AS depth FROM reached GROUP BY seed, id HAVING min(depth) > 0)"
 
 
 @query("graph_related_bfs", f"{GRAPH}, {BFS} SELECT seed, depth, id FROM near")
 def _(spark, d):
-    return graph.related(links.edges(sample_notes(spark, d)), spark.createDataFrame([("0",), ("10",), ("100",)], "id string"), 2)
+    n = sample_notes(spark, d)
+    return graph.related(links.edges(n), seeds_of(n), 2)
 
 
 @query(
     "graph_shortest_path",
-    f"{GRAPH}, walks AS (SELECT id AS src, id AS place, 0 AS steps FROM notes WHERE id IN ('0', '10', '100') UNION SELECT w.src, e.dst, w.steps + 1 FROM walks w JOIN edges e ON e.src = w.place AND e.src <> e.dst WHERE w.steps < 3) SELECT src, place AS dst, CAST(min(steps) AS INTEGER) AS length, true AS found FROM walks WHERE place IN ('7', '31', '301', '704') GROUP BY src, place",
+    f"{GRAPH}, walks AS (SELECT id AS src, id AS place, 0 AS steps FROM notes WHERE CAST(id AS BIGINT) % 50 = 0 UNION SELECT w.src, e.dst, w.steps + 1 FROM walks w JOIN edges e ON e.src = w.place AND e.src <> e.dst WHERE w.steps < 3) SELECT src, place AS dst, CAST(min(steps) AS INTEGER) AS length, true AS found FROM walks WHERE CAST(place AS BIGINT) % 50 = 7 GROUP BY src, place",
 )
 def _(spark, d):
-    pairs = spark.createDataFrame([(a, b) for a in ("0", "10", "100") for b in ("7", "31", "301", "704")], "src string, dst string")
-    got = graph.shortest_path(links.edges(sample_notes(spark, d)), pairs, 3)
+    n = sample_notes(spark, d)
+    # Every seed with every target.
+    targets = n.filter("ord % 50 = 7").select(F.col("id").alias("dst"))
+    pairs = seeds_of(n).select(F.col("id").alias("src")).join(F.broadcast(targets), how="cross")
+    got = graph.shortest_path(links.edges(n), pairs, 3)
     ok = (F.element_at("path", 1) == F.col("src")) & (F.element_at("path", -1) == F.col("dst")) & (F.size("path") == F.col("length") + 1)
     return got.select("src", "dst", "length", ok.alias("found"))
 
@@ -391,17 +400,18 @@ def _(spark, d):
     return graph.cluster_sizes(turn_edges(spark, d)[1])
 
 
-@query("graph_note_clusters", f"{GRAPH}, {BOTH}, far AS (SELECT id, other FROM both_ways UNION SELECT f.id, b.other FROM far f JOIN both_ways b ON b.id = f.other WHERE f.id = '0') SELECT count(DISTINCT other) AS size FROM far WHERE id = '0'")
+@query(
+    "graph_note_clusters",
+    f"{GRAPH}, {BOTH}, far AS (SELECT id, other FROM both_ways WHERE id <> other UNION SELECT f.id, b.other FROM far f JOIN both_ways b ON b.id = f.other) SELECT min(other) AS cluster, id FROM far GROUP BY id",
+)
 def _(spark, d):
-    own = graph.clusters(links.edges(sample_notes(spark, d)))
-    return own.filter("cluster = '0'").agg(F.count(F.lit(1)).alias("size"))
+    return graph.clusters(links.edges(sample_notes(spark, d)))
 
 
-@query("graph_orphans", f"WITH {NOTES} SELECT id FROM notes WHERE ord % 10 = 0 AND NOT EXISTS (SELECT 1 FROM (SELECT id AS src, link1 AS dst FROM notes WHERE ord % 3 = 0) e WHERE (e.src = notes.id OR e.dst = notes.id) AND EXISTS (SELECT 1 FROM notes m WHERE m.id = e.dst))")
+@query("graph_orphans", f"WITH {NOTES}, e AS (SELECT id AS src, link1 AS dst FROM notes UNION ALL SELECT id, link2 FROM notes) SELECT id FROM notes WHERE id NOT IN (SELECT dst FROM e) AND id NOT IN (SELECT src FROM e WHERE dst IN (SELECT id FROM notes))")
 def _(spark, d):
     n = sample_notes(spark, d)
-    e = n.filter("ord % 3 = 0").select(F.col("id").alias("src"), F.element_at("links", 1).alias("dst")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return graph.orphans(n.filter("ord % 10 = 0").select("id"), e)
+    return graph.orphans(n.select("id"), links.edges(n.withColumn("content", F.lit("")))).select("id")
 
 
 @query("graph_broken_links", f"WITH {NOTES}, b AS (SELECT id, 0 AS pos, link1 AS l FROM notes UNION ALL SELECT id, 1, link2 FROM notes) SELECT id, string_agg(l, ',' ORDER BY pos) AS missing FROM b WHERE l NOT IN (SELECT id FROM notes) GROUP BY id")
@@ -409,9 +419,10 @@ def _(spark, d):
     return links.broken(sample_notes(spark, d)).select("id", _joined("missing"))
 
 
-@query("graph_subgraph", f"{GRAPH}, {BFS}, inside AS (SELECT id FROM near WHERE seed = '10' UNION SELECT '10') SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM inside) AND dst IN (SELECT id FROM inside)")
+@query("graph_subgraph", f"{GRAPH}, {BFS}, inside AS (SELECT id FROM near UNION SELECT id FROM notes WHERE CAST(id AS BIGINT) % 50 = 0) SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM inside) AND dst IN (SELECT id FROM inside)")
 def _(spark, d):
-    return graph.subgraph(links.edges(sample_notes(spark, d)), spark.createDataFrame([("10",)], "id string"), 2)[1].select("src", "dst", "type")
+    n = sample_notes(spark, d)
+    return graph.subgraph(links.edges(n), seeds_of(n), 2)[1].select("src", "dst", "type")
 
 
 @query("backlinks", f"WITH {NOTES}, e AS (SELECT DISTINCT link AS id, src FROM (SELECT id AS src, link1 AS link FROM notes UNION ALL SELECT id, link2 FROM notes) WHERE link IN (SELECT id FROM notes)) SELECT id, string_agg(src, ',' ORDER BY src) AS backlinks FROM e GROUP BY id")
@@ -440,10 +451,11 @@ def _(spark, d):
 
 @query(
     "refs_note",
-    f"WITH {NOTES}, {_WITH_BACK}, f AS (SELECT id, 'forward' AS direction, 0 AS pos, link1 AS other FROM notes UNION ALL SELECT id, 'forward', 1, link2 FROM notes UNION ALL SELECT id, 'backward', row_number() OVER (PARTITION BY id ORDER BY src) - 1, src FROM e) SELECT f.id, direction, CAST(pos AS INTEGER) AS pos, other, title FROM f JOIN notes ON notes.id = other WHERE f.id IN ('1', '20', '300')",
+    f"WITH {NOTES}, {_WITH_BACK}, f AS (SELECT id, 'forward' AS direction, 0 AS pos, link1 AS other FROM notes UNION ALL SELECT id, 'forward', 1, link2 FROM notes UNION ALL SELECT id, 'backward', row_number() OVER (PARTITION BY id ORDER BY src) - 1, src FROM e) SELECT f.id, direction, CAST(pos AS INTEGER) AS pos, other, title FROM f JOIN notes ON notes.id = other WHERE CAST(f.id AS BIGINT) % 50 = 0",
 )
 def _(spark, d):
-    return links.refs_of(full_notes(spark, d), spark.createDataFrame([("1",), ("20",), ("300",)], "id string"))
+    n = full_notes(spark, d)
+    return links.refs_of(n, seeds_of(n))
 
 
 @query(
@@ -459,16 +471,17 @@ SELECT query_id, fused.id, rank, coalesce(neighbors, 0) AS neighbors, related FR
 )
 def _(spark, d):
     n = sample_notes(spark, d)
-    hits = search.search("hybrid", index_of(spark, d), sample_vectors(spark, d), with_vectors(spark, d), K)
+    hits = search.search("hybrid", index_of(spark, d), sample_vectors(spark, d), searches(spark, d), K)
     got = graph.enrich(hits, n, links.edges(n), 2)
     related = F.array_join(F.transform("related", lambda x: F.concat(x["depth"].cast("string"), F.lit(":"), x["other"])), ",")
     return got.select(F.col("query_id").cast("int").alias("query_id"), "id", F.col("rank").cast("long").alias("rank"), "neighbors", related.alias("related"))
 
 
-@query("link_diff", f"WITH {NOTES}, n2 AS (SELECT *, CAST((ord * 7 + 3) % 1500 AS VARCHAR) AS new1, CAST((ord * 2 + 9) % 1500 AS VARCHAR) AS new2 FROM notes) SELECT id, array_to_string(list_sort(list_distinct(list_filter([new1, new2], lambda x: x <> link1 AND x <> link2))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter([link1, link2], lambda x: x <> new1 AND x <> new2))), ',') AS removed FROM n2")
+@query("link_diff", f"WITH {NOTES}, n2 AS (SELECT *, CAST((ord * 7 + 3) % (SELECT count(*) + count(*) // 2 FROM documents) AS VARCHAR) AS new1, CAST((ord * 2 + 9) % (SELECT count(*) + count(*) // 2 FROM documents) AS VARCHAR) AS new2 FROM notes) SELECT id, array_to_string(list_sort(list_distinct(list_filter([new1, new2], lambda x: x <> link1 AND x <> link2))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter([link1, link2], lambda x: x <> new1 AND x <> new2))), ',') AS removed FROM n2")
 def _(spark, d):
     n = sample_notes(spark, d)
-    new = n.select("id", F.array(F.element_at("links", 1), F.pmod(F.col("ord") * 2 + 9, F.lit(1500)).cast("string")).alias("links"))
+    size = n.count()
+    new = n.select("id", F.array(F.element_at("links", 1), F.pmod(F.col("ord") * 2 + 9, F.lit(size + size // 2)).cast("string")).alias("links"))
     return links.diff(n, new).select("id", _joined("added"), _joined("removed"))
 
 
@@ -561,10 +574,10 @@ def _(spark, d):
     return git_log.as_notes(git_log.commits(logs), "demo").select("title", "content", _joined("tags"))
 
 
-@query("page_links", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) AS INTEGER) AS n_links, coalesce(regexp_extract(html, '<a\s+href="([^"]*)"', 1), '') AS first_link FROM pages""")
+@query("page_links", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) AS INTEGER) AS n_links, array_to_string(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1), ' ') AS links FROM pages""")
 def _(spark, d):
     found = F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), F.lit(1))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.size(found).alias("n_links"), F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("first_link"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.size(found).alias("n_links"), F.array_join(found, " ").alias("links"))
 
 
 @query("kb_stats", f"WITH {NOTES} SELECT source AS name, count(*) AS total, CAST(count_if(type = 'permanent') AS BIGINT) AS permanent FROM notes GROUP BY source")
@@ -598,13 +611,19 @@ def _(spark, d):
     from marginalia.session import ship
 
     ship(spark)
-    return vectors.encode(docs).select("doc_id", F.size("embedding").alias("dimension"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("length"))
+    e = F.col("embedding")
+    return vectors.encode(docs).select("doc_id", F.size(e).alias("dimension"), F.round(vectors.dot(e, e), 4).alias("length"), F.transform(e, lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
-@query("bulk_import")
+@query(
+    "bulk_import",
+    """WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS no FROM documents)
+SELECT strftime(TIMESTAMP '2026-04-28 10:00:00' + to_seconds(no // 10000), '%Y%m%d%H%M%S') || lpad(CAST(no % 10000 AS VARCHAR), 4, '0') AS id, 'Doc ' || doc_id AS title, md5(text) AS content_md5, 'permanent' AS type, lang AS tags, true AS indexed FROM n""",
+)
 def _(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id")
     rows = docs.select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.array("lang").alias("tags"))
-    n = maintain.import_notes(rows, "2026-04-28 10:00:00")
-    index = bm25.build(n.select("id", F.col("id").cast("decimal(38,0)").cast("string").alias("ord"), T.bm25_text(F.col("title"), F.col("content")).alias("text")))
-    return n.groupBy("type").agg(F.count(F.lit(1)).alias("notes"), F.count_distinct("id").alias("ids")).crossJoin(index.corpus.select("n"))  # one row each
+    n = saved(maintain.import_notes(rows, "2026-04-28 10:00:00"))
+    index = bm25.build(n.select("id", F.col("id").cast("long").alias("ord"), T.bm25_text(F.col("title"), F.col("content")).alias("text")))
+    known = n.join(index.docs.select("id", F.lit(True).alias("indexed")), "id", "left")
+    return known.select("id", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"), "type", _joined("tags"), F.coalesce("indexed", F.lit(False)).alias("indexed"))

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from marginalia.schema import IMPORT
 
-#: Links of the sample notes are drawn from so many documents, so that some have no target in small tables.
-SPAN = 1500
-
 
 def from_json(spark: SparkSession, path: str) -> DataFrame:
     """(title, content, tags) of JSON arrays, one or more to a file."""
@@ -17,10 +14,11 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as notes: type, tags, links and wiki links follow from doc_id by arithmetic."""
+    """Documents as notes: type, tags, links and wiki links follow from doc_id by arithmetic. Links are drawn from half as many numbers again as
+    there are documents, so that a third of them have no target."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = F.col("doc_id")
-    mod = lambda a, b: F.pmod(n * a + b, F.lit(SPAN)).cast("string")
+    n, size = F.col("doc_id"), docs.count()
+    mod = lambda a, b: F.pmod(n * a + b, F.lit(size + size // 2)).cast("string")
     return docs.select(
         n.cast("string").alias("id"),
         n.alias("ord"),
