@@ -1,4 +1,4 @@
-"""Knowledge bases and templates: small registries, kept as JSON text by the caller, and their tables."""
+"""Knowledge bases and templates: small registries and their tables. ``marginalia.settings`` keeps them in files."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names that no base may have.
 RESERVED = ("notes", ".zk", ".zk_config.json")
 
 
@@ -43,7 +44,7 @@ class Registry:
             raise ValueError("the last knowledge base can't be removed")
         gone = self.bases.pop(name)
         if self.default == name:
-            self.default = min(self.bases)
+            self.default = next(iter(self.bases))
         return gone
 
     def rename(self, old: str, new: str) -> None:

@@ -13,13 +13,16 @@ from datetime import datetime
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from marginalia import admin
 from marginalia.functions.text import bm25_text, default_title, vector_text, wiki_links
 from marginalia.operators import bm25, graph, links, maintain, search, suggest, vectors
 from marginalia.schema import NOTE_TYPES, NOTES
+from marginalia.scratch import saved
 from marginalia.sinks import formats
 from marginalia.sources import git_log, markdown, tables
+from marginalia.streaming import indexer
 
 POINTER = "CURRENT"
 PARTS = ("notes", "postings", "docs", "terms", "corpus", "vectors")
@@ -28,6 +31,7 @@ PARTS = ("notes", "postings", "docs", "terms", "corpus", "vectors")
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, path: str, encoder: Callable[[list[str]], np.ndarray] = vectors.hashed_bag, dimension: int = vectors.DIMENSION):
         self.spark, self.path, self.encoder, self.dimension = spark, path.rstrip("/"), encoder, dimension
+        self.last_import: dict | None = None
         if not self._parts():
             self._commit(spark.createDataFrame([], NOTES))
 
@@ -115,11 +119,15 @@ class KnowledgeBase:
     # Changes
 
     def add_many(self, rows: DataFrame, note_type: str = "permanent", at: datetime | None = None) -> int:
-        """Import rows (title, content, tags) as notes and index them in the same change; the number of notes."""
-        at = at or datetime.now()
+        """Import rows (title, content, tags) as notes and index them in the same change; the number of notes. Rows with neither title nor content
+        are left out; ``last_import`` counts them."""
+        at, began = at or datetime.now(), datetime.now()
+        rows, total = rows.filter("title is not null or content is not null"), rows.count()
         new = maintain.import_notes(rows, at.strftime("%Y-%m-%d %H:%M:%S"), note_type).withColumn("filepath", F.lit(None).cast("string"))
         self._change(maintain.upsert(self.notes, new.select(NOTES.names)), new)
-        return new.count()
+        done = new.count()
+        self.last_import = {"total": total, "imported": done, "failed": total - done, "seconds": (datetime.now() - began).total_seconds()}
+        return done
 
     def add(self, content: str, title: str | None = None, note_type: str = "fleeting", tags: list[str] | None = None, source: str | None = None, template: str | None = None, templates: admin.Templates | None = None, at: datetime | None = None) -> tuple[str, list[str]]:
         """One note; its wiki links become links, and backlinks follow. Gives the id and the link texts without a note."""
@@ -166,6 +174,68 @@ class KnowledgeBase:
     def reindex(self) -> None:
         self._commit(self.notes)
 
+    def reindex_keywords(self) -> None:
+        """Build the keyword index alone anew."""
+        self._commit(index=self._indexed(self.notes))
+
+    def clear_indexes(self) -> None:
+        """Empty both indexes; ``reindex`` fills them again."""
+        self._commit(index=bm25.clear(self.index), table=vectors.clear(self.vectors))
+
+    def check(self, folder: str, clean: bool = False) -> tuple[DataFrame, list[str]]:
+        """Files of a folder that are empty or corrupt, (filepath, issue, size), and the paths of those that ``clean`` has deleted."""
+        gone = markdown.delete_empty(self.spark, folder) if clean else []
+        return markdown.checked(self.spark, folder).orderBy("filepath"), gone
+
+    # Watching
+
+    def apply_changes(self, upserts: DataFrame, deletes: DataFrame) -> dict:
+        """Take in changed note files (id, path) and drop deleted notes (id), in one change; counts of both and the problems of files."""
+        paths = [r["path"] for r in upserts.select("path").collect()]  # those of one batch of changes
+        paths = [p for p in paths if (lambda fs, q: fs.exists(q))(*self._fs(p))]
+        gone = deletes.select("id").distinct()
+        notes, index, table, problems, n = self.notes, self.index, self.vectors, [], 0
+        if not gone.isEmpty():
+            notes, index, table = maintain.delete(notes, gone), bm25.remove(index, gone), vectors.remove(table, gone)
+        if paths:
+            parsed = saved(markdown.notes(markdown.files(self.spark, paths)))
+            problems = [f"{r['filepath']}: {r['problem']}" for r in markdown.invalid(parsed).collect()]
+            new = maintain.last_wins(markdown.valid(parsed), "id", "filepath")
+            n = new.count()
+            notes = maintain.with_backlinks(maintain.upsert(notes, new.select(NOTES.names)))
+            index, table = bm25.upsert(index, self._texts(new)), vectors.upsert(table, self._encoded(new))
+        removed = gone.count()
+        if n or removed:
+            self._commit(notes, index, table)
+        return {"indexed": n, "deleted": removed, "errors": problems}
+
+    def watch(self, events: str, checkpoint: str, callback: Callable[[str, str], None] | None = None, gap: str = indexer.DEBOUNCE, available_now: bool = False) -> tuple[StreamingQuery, indexer.IndexStats]:
+        """Keep notes and indexes current from a folder of change events (``folder.FolderWatcher`` writes them). The callback gets a kind of event
+        ("indexed", "deleted" or "error") and a message; the counters are those of this run. A batch that comes again gives the same notes."""
+        stats = indexer.IndexStats()
+        say = callback or (lambda kind, message: None)
+
+        def apply(upserts: DataFrame, deletes: DataFrame, number: int) -> None:
+            stats.pending_changes = upserts.count() + deletes.count()
+            try:
+                done = self.apply_changes(upserts, deletes)
+            except Exception as e:
+                stats.errors.append(f"batch {number}: {e}")
+                say("error", stats.errors[-1])
+                raise
+            stats.pending_changes = 0
+            stats.total_indexed += done["indexed"]
+            stats.total_deleted += done["deleted"]
+            stats.last_indexed = datetime.now()
+            stats.errors += done["errors"]
+            for kind, many in (("indexed", done["indexed"]), ("deleted", done["deleted"])):
+                if many:
+                    say(kind, f"{many} notes")
+            for problem in done["errors"]:
+                say("error", problem)
+
+        return indexer.watch(indexer.events(self.spark, events), apply, checkpoint, gap, available_now), stats
+
     def import_json(self, path: str, note_type: str = "permanent") -> int:
         return self.add_many(tables.from_json(self.spark, path), note_type)
 

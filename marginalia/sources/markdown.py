@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from marginalia.schema import NOTE_TYPES, NOTES
 from marginalia.session import ship
 
+# Fixed value: where the front matter of a note ends.
 FRONT = r"(?s)^---\n(.*?)\n---\n+(.*)"
 PARSED = "id string, title string, content string, type string, created timestamp_ntz, updated timestamp_ntz, tags array<string>, links array<string>, backlinks array<string>, source string, filepath string, problem string"
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(filepath, raw, size) of all Markdown files below a folder. Spark's sources leave out files of no bytes; ``checked`` lists those too."""
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(filepath, raw, size) of all Markdown files below a folder, or of some files. Spark's sources leave out files of no bytes; ``checked`` lists those too."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
     return found.select(F.col("path").alias("filepath"), F.col("content").alias("raw"), F.col("length").alias("size"))
 

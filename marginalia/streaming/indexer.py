@@ -7,6 +7,8 @@ by session windows with a watermark; each batch of settled changes then updates
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.functions.text import id_of_stem
 
+@dataclass
+class IndexStats:
+    """Counters of a run of the indexer."""
+
+    total_indexed: int = 0
+    total_deleted: int = 0
+    last_indexed: datetime | None = None
+    pending_changes: int = 0
+    errors: list[str] = field(default_factory=list)
+
+
 EVENTS = "path string, ts timestamp, op string"
 DEBOUNCE = "1 second"
 
