@@ -19,6 +19,7 @@ table gives no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -83,7 +84,7 @@ def described(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
         if len(w) < WORDS:
             return [np.zeros(0, np.int64)] * 3
         s = shingles(w)
-        ties = len(set(s.tolist())) < len(s)
+        ties = bool((np.diff(np.sort(s)) == 0).any())
         right = contexts(s)
         left = right[np.maximum(0, np.arange(len(s)) - HALF + 1)]
         rows, keys = [], []
@@ -149,9 +150,12 @@ class Prepared:
         self.raw = text.encode("utf-8")
         self.words, self.begins, self.ends = words(self.raw)
         self.shingles = shingles(self.words)
-        self.wholes = run_hashes(self.shingles)
         self.chars = None
 
+    @cached_property
+    def wholes(self) -> np.ndarray:
+        return run_hashes(self.shingles)
+
     def char(self, byte: int) -> int:
         if self.chars is None:
             self.chars = np.concatenate(([0], np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80)))
@@ -212,6 +216,8 @@ def passages(own: Prepared, other: Prepared, region: tuple[int, int], other_regi
     for i, j in pure:
         if not known(i, j) and (alike := likeness(x, y, place, hit, i, j)) >= threshold:
             found(i, j, alike)
+    if all(known(i, j) for i, j in pure):
+        return out  # no exact repetition lies outside what is found
     exact = np.isin(own.wholes[a : max(a, z - LEAST + 1)], other.wholes[pa_ : max(pa_, pz - LEAST + 1)])
     for i, j in np.flatnonzero(np.diff(np.concatenate(([0], exact.view(np.int8), [0])))).reshape(-1, 2).tolist():
         if not known(i, j + LEAST - 1):

@@ -1,6 +1,7 @@
 """Words and word shingles as 64-bit hashes, for whole texts at once with numpy.
 
-A word is a run of ASCII letters, digits and underscores and of all characters beyond ASCII; ASCII letters count without case. A shingle is five
+A word is a run of ASCII letters, digits and underscores and of all characters beyond ASCII; ASCII letters count without case. Characters from U+3000
+to U+9FFF, of scripts that put no spaces between words, are words by themselves. A shingle is five
 words in a row. A text of one to four words has one shingle of all its words; a text without words has none.
 """
 
@@ -44,7 +45,7 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts, at = [], 0
         while at < len(raw):
             stop = at + PIECE
-            while stop < len(raw) and _kinds[raw[stop]]:
+            while stop < len(raw) and _kinds[raw[stop]] and not 0xE3 <= raw[stop] <= 0xE9:
                 stop += 1
             h, s, e = _words(raw[at:stop])
             parts.append((h, s + at, e + at))
@@ -54,11 +55,16 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds = _kinds[np.frombuffer(raw, np.uint8)]
+    data = np.frombuffer(raw, np.uint8)
+    kinds = _kinds[data]
     inside = np.zeros(len(kinds) + 2, np.int8)
     inside[1:-1] = kinds != 0
     step = np.diff(inside)
     begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    alone = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))  # first of the three bytes of such a character
+    if len(alone):
+        after = alone + 3
+        begins, ends = np.union1d(begins, np.concatenate([alone, after[inside[1:][after] == 1]])), np.union1d(ends, np.concatenate([alone[inside[alone] == 1], after]))
     _grown(len(kinds) + 1)
     total = np.zeros(len(kinds) + 1, _U)
     np.cumsum(kinds * _powers[0][: len(kinds)], out=total[1:])

@@ -126,6 +126,30 @@ def test_jaccard_join(spark, corpus):
     assert {r["doc_id"] for r in staged.collect()} == {w[0] for w in want if w[0] == w[1]} | {None}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab Z_9\n-éß中文字、ひカ🙂한"), max_size=30), min_size=1, max_size=6))
+def test_words(texts):
+    from marginalia.llm.shingles import words_of
+
+    for t, (hashes, begins, ends) in zip(texts, words_of(texts), strict=True):
+        raw = t.encode()
+        want = re.findall(r"[\u3000-\u9fff]|(?:[A-Za-z0-9_]|[^\x00-\x7f\u3000-\u9fff])+", t)
+        assert [raw[a:z].decode() for a, z in zip(begins, ends, strict=True)] == want
+        assert [int(words(w.encode())[0][0]) for w in want] == hashes.tolist()
+
+
+def test_texts_without_spaces(spark):
+    rng = random.Random(7)
+    one = [chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(400)]
+    other = list(one)
+    other[200] = "一"
+    texts = [(1, "".join(one)), (2, "".join(other)), (3, "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300)) + "".join(one[50:150]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.jaccard_links(table(spark, texts)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    found = {(r["doc_id"], r["source_doc_id"]): r["n_words"] for r in compact_windows.repeated_passages(table(spark, texts)).collect()}
+    assert found.keys() == {(2, 1), (3, 1)} and found[3, 1] == 100
+
+
 def test_shared_counts_in_strips():
     rng = np.random.default_rng(0)
     lists = [np.unique(rng.integers(0, 300, 100).astype(np.uint64)) for _ in range(20)]
