@@ -83,3 +83,81 @@ def test_axes_span_the_leading_space():
     x = (rng.standard_normal((200, 6)) @ rng.standard_normal((6, 80))).astype(np.float32)
     axes = quality.leading_axes(x, 6)
     assert np.allclose(x @ axes @ axes.T, x, atol=1e-2)
+
+
+def test_quality_by_brute_force(spark, small):
+    """Every document of the smallest table, its cosines with all labelled vectors one by one, and the vote of the nearest."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in quality.op6(spark, small).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    own = model.vectors.astype(np.float64)
+    unlike = 0
+    for i, t in texts.items():
+        x = (quality.terms(t) * model.idf).astype(np.float64) @ model.axes.astype(np.float64)
+        x /= max(np.linalg.norm(x), 1e-12)
+        near = sorted(((sum(a * b for a, b in zip(x, v, strict=True)), label) for v, label in zip(own.tolist(), model.labels.tolist(), strict=True)), reverse=True)
+        last = near[min(quality.NEIGHBOURS, len(near)) - 1][0]
+        votes = [(max(c, 1e-6) ** quality.POWER, label) for c, label in near if c >= last - 1e-6]  # as near as the last one
+        score = sum(w * label for w, label in votes) / sum(w for w, _ in votes)
+        unlike += abs(score - got[i]["score"]) > 1e-3  # neighbours that single precision puts in another order
+        assert got[i]["held_out"] == held(i) and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+    assert unlike <= 0.01 * len(texts)
+
+
+def test_axes_and_weights_of_the_labelled_rows(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.labelled(docs, labels, "quality", quality.SAMPLE)
+    assert len(rows) > 30
+    model = quality.train(docs, labels)
+    x = np.stack([quality.terms(r["text"]) for r in rows])
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    idf[quality.WORDS + quality.SHAPES :] = 1
+    assert np.allclose(idf, model.idf, atol=1e-5)
+    _, s, v = np.linalg.svd(x * idf, full_matrices=False)
+    k = min(quality.DIMENSIONS, len(x))
+    kept = np.linalg.norm((x * idf) @ model.axes) ** 2
+    assert kept >= 0.99 * (s[:k] ** 2).sum()  # the axes hold what the leading singular vectors hold
+
+
+def test_later_links_learn_from_out_of_fold_predictions(monkeypatch):
+    rng = np.random.default_rng(4)
+    bad = ["vile", "nasty", "hateful1", "hateful2", "hateful3", "hateful4", "hateful5", "hateful6"]
+    texts, toxic = [], []
+    for i in range(240):
+        own = [f"w{rng.integers(400)}" for _ in range(30)]
+        if i % 2:
+            own[3 : 3 + 1 + i % 4] = rng.choice(bad, 1 + i % 4).tolist()
+        texts.append(" ".join(own))
+        toxic.append(i % 2)
+    fits = []
+
+    class Spy(toxicity.Logistic):
+        def __init__(self, x, y, *a, **k):
+            super().__init__(x, y, *a, **k)
+            fits.append((x.copy(), y.copy(), self))
+
+    monkeypatch.setattr(toxicity, "Logistic", Spy)
+    chain = toxicity.Chain(texts, toxic)
+    n, folds, width = len(texts), toxicity.FOLDS, len(chain.index) + 1
+    assert len(fits) == len(toxicity.CHAIN) * (folds + 1)
+    fold = np.arange(n) % folds
+    for k in range(len(toxicity.CHAIN)):
+        *inner, (x, y, link) = fits[k * (folds + 1) : (k + 1) * (folds + 1)]
+        assert link is chain.links[k] and x.shape == (n, width + k)
+        column = np.empty(n)
+        for f, (part, goal, model) in enumerate(inner):
+            assert np.array_equal(part, x[fold != f]) and np.array_equal(goal, y[fold != f])  # rows of the fold are not learnt from
+            column[fold == f] = model(x[fold == f])
+        if k + 1 < len(toxicity.CHAIN):
+            after = fits[(k + 2) * (folds + 1) - 1][0]
+            assert np.allclose(after[:, width + k], column, atol=1e-6) and not np.allclose(column, link(x), atol=1e-4)
+    # Scores by hand: each link sees the terms and the probabilities of the links before it.
+    got = chain.scores(texts[:40])
+    for row, text in zip(got, texts[:40], strict=True):
+        x = chain.features([text])[0][0].tolist()
+        for p, link in zip(row, chain.links, strict=True):
+            z = sum(a * b for a, b in zip(x, link.w[:-1].tolist(), strict=True)) + float(link.w[-1])
+            assert abs(1 / (1 + np.exp(-z)) - p) < 1e-4
+            x.append(p)
