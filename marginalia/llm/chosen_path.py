@@ -95,8 +95,8 @@ def leaves(classes: DataFrame, small: int = SMALL, split: float = SPLIT, depth:
     rows = classes.select("sig", F.explode("paths").alias("path"), F.array().cast("array<long>").alias("used"))
     found = []
     for level in range(1, depth + 1):
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        met = saved(rows.join(counts, "path"), f"met{level}")
+        counts = saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), f"counts{level}")
+        met = saved(join_hot(rows, counts, "path", "inner", counts=counts.select("path", F.col("m").alias("_n"))), f"met{level}")
         found.append(met.filter(F.col("m") <= small if level < depth else F.lit(True)).select("path", "sig"))
         large = met.filter(F.col("m") > small)
         if level == depth or large.isEmpty():
@@ -105,7 +105,7 @@ def leaves(classes: DataFrame, small: int = SMALL, split: float = SPLIT, depth:
         rate = F.lit(int(split * (1 << 32))) / F.greatest(F.lit(1), F.size("pool"))
         picks = F.filter("pool", lambda t: (F.pmod(F.xxhash64("path", t), F.lit(1 << 32)) < F.col("rate")) & ~F.array_contains("used", t))
         rows = large.join(classes.select("sig", "pool"), "sig").withColumn("rate", rate).select("sig", "path", "used", F.explode(picks).alias("token"))
-        rows = rows.select("sig", F.xxhash64("path", "token", F.lit(level)).alias("path"), F.concat("used", F.array("token")).alias("used"))
+        rows = saved(rows.select("sig", F.xxhash64("path", "token", F.lit(level)).alias("path"), F.concat("used", F.array("token")).alias("used")), f"rows{level}")
     every = reduce(DataFrame.unionByName, found)
     same = every.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "sig")).alias("x"))
     once = same.groupBy("m", "s", "x").agg(F.min("path").alias("path")).select("path", "m")

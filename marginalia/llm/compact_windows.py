@@ -336,8 +336,8 @@ def nearest(rows: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     if "open" not in rows.columns:
         rows = rows.withColumn("open", F.lit(True))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.bool_or("open").alias("any")).filter("m > 1 and any")
-    per_text = rows.join(sizes.select("band"), "band").groupBy("uid").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("band", "side", "c", "open")).alias("at")).join(texts, "uid")
+    sizes = saved(rows.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("open").alias("any")).filter("_n > 1 and any").select("band", "_n"), "sizes")
+    per_text = join_hot(rows, sizes.select("band"), "band", "inner", counts=sizes).groupBy("uid").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("band", "side", "c", "open")).alias("at")).join(texts, "uid")
     kinds = [("band", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("open", pa.bool_()), ("near", pa.binary())]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,7 +465,7 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     # Members in a passage already found are not open, but may be the source of others.
     members = met.select("band", "side", "uid", "doc", "c").distinct()
     explained = members.select("uid", "c").distinct().join(covered, "uid").filter(F.col("c").between(F.col("first"), F.col("last"))).select("uid", "c", F.lit(False).alias("open")).distinct()
-    members = members.join(explained, ["uid", "c"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    members = saved(members.join(explained, ["uid", "c"], "left").withColumn("open", F.coalesce("open", F.lit(True))), "members")
     second = verified(saved(nearest(members, texts), "nearest"), texts)
     every = first.unionByName(second)
     names = units.select(F.col("uid").alias("lead"), F.col("doc_id").alias("source_doc_id"))
