@@ -230,15 +230,25 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, int] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc, queue, n, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+            starts, lengths, sums, seqs, offs, texts, counts = [], [], [], [], [], [], []
+            for queue, n, first, raw in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
+                before = len(starts)
                 for start, k, seq, off in cut(sched, queue, first, n, length):
-                    piece = ids[start : start + k].tobytes()
-                    for o, v in zip(out, (doc, start, k, zlib.crc32(piece), n, seq, off, queue, piece if keep_ids else None), strict=True):
-                        o.append(v)
-            kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
+                    piece = ids[4 * start : 4 * (start + k)]
+                    starts.append(start)
+                    lengths.append(k)
+                    sums.append(zlib.crc32(piece))
+                    seqs.append(seq)
+                    offs.append(off)
+                    if keep_ids:
+                        texts.append(piece)
+                counts.append(len(starts) - before)
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            doc, queue, n = (batch.column(c).take(at) for c in range(3))
+            long = lambda v: pa.array(np.array(v, np.int64))
+            ids = pa.array(texts, pa.binary()) if keep_ids else pa.nulls(len(starts), pa.binary())
+            yield pa.RecordBatch.from_arrays([doc, long(starts), long(lengths), long(sums), n, long(seqs), long(offs), queue, ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
 
     got = placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")
     return got if keep_ids else got.drop("ids")
