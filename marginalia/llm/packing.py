@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -158,25 +159,25 @@ class LibraryWords(WordBPE):
         super().__init__(path, room)
         self._tokenizer = Tokenizer.from_file(path)
 
-    def _learned(self, keys: list[str]) -> Iterator[list[int]]:
-        plain = [k for k in keys if k[:1] != "\x00" and "<|" not in k]
+    def _learned(self, keys: list[str]) -> list[list[int]]:
+        plain = [k for k in keys if k[0] != "\x00" and "<|" not in k]
         got = self._tokenizer.encode(" ".join(plain), add_special_tokens=False)
         ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
-        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        ids = got.ids
+        begins = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(ids))
         stops = np.searchsorted(begins, ends).tolist()
-        ids, at = got.ids, 0
-        own = iter(stops)
-        for k in keys:
-            if k[:2] == "\x00\x00":
-                yield [self.special[k[2:]]]
-            elif k[:1] == "\x00":
-                yield [t.id for t in self._tokenizer.model.tokenize(k[1:])]
-            elif "<|" in k:  # may have become a special token by lower case
-                yield [t.id for w in self.plain.findall(k) for t in self._tokenizer.model.tokenize(self._chars(w))]
-            else:
-                stop = next(own)
-                yield ids[at:stop]
-                at = stop
+        found = [ids[a:z] for a, z in zip([0, *stops], stops, strict=False)]
+        if len(plain) == len(keys):
+            return found
+        rest = iter(found)
+        return [next(rest) if k[0] != "\x00" and "<|" not in k else self._special(k) for k in keys]
+
+    def _special(self, key: str) -> list[int]:
+        """Ids of a special token, of byte-level characters, or of a chunk that may have become a special token by lower case."""
+        if key[:2] == "\x00\x00":
+            return [self.special[key[2:]]]
+        words = [key[1:]] if key[0] == "\x00" else [self._chars(w) for w in self.plain.findall(key)]
+        return [t.id for w in words for t in self._tokenizer.model.tokenize(w)]
 
 
 def by_library(path: str, room: int = ROOM) -> LibraryWords:
