@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import saved, table, text_of, unused, without
+from marginalia.llm.common import process_state, saved, table, text_of, unused, without
 
 #: Bytes of edge labels that a trie holds before it spills a subtree.
-BUDGET = 96 << 20
+BUDGET = 24 << 20
 LAST = (1 << 63) - 1
 
 
@@ -114,6 +114,7 @@ def local_owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Member rows (doc_id, rid, terminal) and, at a spill or the end, rows of terminals (terminal, key, best_id, best_rid, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_state("tries")
         rid, trie = TaskContext.get().partitionId() << 40, RadixTrie()
 
         def sent(found: Iterator) -> Iterator[pa.RecordBatch]:

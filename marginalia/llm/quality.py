@@ -28,7 +28,7 @@ POWER, THRESHOLD = 4.0, 0.3
 STAT = 1.5
 WORDS, SHAPES, STATS = 2048, 256, 96
 WIDTH = WORDS + SHAPES + STATS
-CACHED = 150_000
+CACHED = 100_000
 
 _edge = re.compile(r"[^\w]+$")
 _letters = re.compile(r"[^\W\d_]")
