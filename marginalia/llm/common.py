@@ -20,6 +20,8 @@ BROADCAST_ROWS = 200_000
 BATCH = 1000
 #: Bytes of a row group of scratch tables, which a task holds while it writes.
 ROW_GROUP = 16 << 20
+#: Characters of a bucket of scratch tables.
+BUCKET = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,9 +47,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, chars: int) -> DataFrame:
+    """``df`` with about ``chars`` characters of text, written once and sorted into buckets by ``key``, so that joins and groups by that key move
+    only their other side. ``discard`` also forgets the table's name."""
+    spark = df.sparkSession
+    prepared(spark)
+    path, name = scratch_dir(spark), f"marginalia_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET + 1)
+    held = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    held.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(name)
+    out._scratch, out._name = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again."""
     for t in tables:
+        if name := getattr(t, "_name", None):
+            t.sparkSession.sql(f"DROP TABLE {name}")
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t._scratch)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
@@ -115,6 +134,19 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", sha
     return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
+def join_bucketed(left: DataFrame, right: DataFrame, key: str, share: int = 2000) -> DataFrame:
+    """``left``, a scratch table, joined with ``right``, whose ``key`` is unique and which is in buckets by it. Rows of hot keys go by ``join_hot``
+    with the few rows on the right that they need; all others leave the right side where it is."""
+    limit = max(1000, left.count() // share)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    found = hot.collect()
+    if not found:
+        return left.join(right, key)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
+    dealt = join_hot(left.join(hot, key, "left_semi"), right.join(hot, key, "left_semi"), key, "inner", counts=hot)
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(dealt)
+
+
 #: Most words of the bitmap of ``sieved``: 64 million bits, a million small rows to broadcast. Beyond that more rows pass it.
 SIEVE_WORDS = 1 << 20
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.chosen_path import groups, shared_counts, signature
-from marginalia.llm.common import BROADCAST_ROWS, discard, join_hot, process_state, saved, sieved, table, text_of, unused, without
+from marginalia.llm.common import BROADCAST_ROWS, bucketed, discard, join_bucketed, join_hot, process_state, saved, sieved, table, text_of, unused, without
 from marginalia.llm.shingles import SIZE, mix, shingles, words, words_of
 
 WORDS, HASHES, THRESHOLD, BLOCK = 50, 4, 0.8, 512
@@ -302,9 +302,9 @@ def runs(hit: np.ndarray, cost: int = 8, gap: int = 2 * SIZE) -> list[tuple[int,
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (uid, lead, start, end, first, last, words, similarity) from pairs (uid, lead, l, r, lead_l, lead_r)."""
+    """Rows (uid, lead, start, end, first, last, words, similarity) from pairs (uid, lead, l, r, lead_l, lead_r), a scratch table."""
     lead_text = texts.select(F.col("uid").alias("lead"), F.col("text").alias("lead_text"))
-    both = join_hot(pairs, lead_text, "lead", "inner").join(texts, "uid")
+    both = join_bucketed(pairs, lead_text, "lead").join(texts, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared: dict[int, Prepared] = {}
@@ -428,10 +428,10 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     rows = saved(described(docs, hashes), "windows")
     id_or_last = F.coalesce("doc_id", F.lit(LAST))
     whole = rows.filter(F.col("n_words") >= WORDS)
-    classes = saved(whole.groupBy("sig").agg(F.min(id_or_last).alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    several = classes.filter("copies > 1")
+    classes = saved(whole.groupBy("sig").agg(F.min(id_or_last).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_chars").alias("n_chars")), "classes")
+    several = classes.filter("copies > 1").drop("n_chars")
     named = F.when(F.col("first_id") < LAST, F.col("first_id"))
-    units = classes.select(named.alias("doc_id"), F.xxhash64(named, "sig").alias("uid"), "sig")
+    units = classes.select(named.alias("doc_id"), F.xxhash64(named, "sig").alias("uid"), "sig", "n_chars")
     # Copies are told apart by a join of ids alone; the windows of the others stay where they are.
     copies = saved(join_hot(whole.select("doc_id", "sig", "n_words", "n_chars"), several, "sig", "inner").filter(id_or_last > F.col("first_id")), "copies")
     keyed = whole.select("doc_id", "sig", F.xxhash64("doc_id", "sig").alias("uid"), "windows")
@@ -459,18 +459,21 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     regions = met.groupBy("uid", "lead").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("lead_l").alias("lead_l"), F.max("lead_r").alias("lead_r"))
     regions = saved(regions, "regions")
     needed = met.select("uid").union(met.select("lead")).distinct()
-    texts = saved(texts_of(docs, units.join(needed, "uid", "left_semi")), "texts")
+    wanted = saved(units.join(needed, "uid", "left_semi"), "wanted")
+    texts = bucketed(texts_of(docs, wanted), "uid", wanted.agg(F.sum(F.col("n_chars").cast("long"))).first()[0] or 0)
     first = saved(verified(regions, texts), "first")
-    covered = first.select("uid", "first", "last")
     # Members in a passage already found are not open, but may be the source of others.
-    members = met.select("band", "side", "uid", "doc", "c").distinct()
-    explained = members.select("uid", "c").distinct().join(covered, "uid").filter(F.col("c").between(F.col("first"), F.col("last"))).select("uid", "c", F.lit(False).alias("open")).distinct()
-    members = saved(members.join(explained, ["uid", "c"], "left").withColumn("open", F.coalesce("open", F.lit(True))), "members")
+    covered = first.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("covers"))
+    explained = F.exists("covers", lambda x: F.col("c").between(x["first"], x["last"]))
+    members = met.join(covered, "uid", "left").select("band", "side", "uid", "doc", "c", (~F.coalesce(explained, F.lit(False))).alias("open"))
+    members = saved(members, "members")
+    discard(met)
     second = verified(saved(nearest(members, texts), "nearest"), texts)
     every = first.unionByName(second)
     names = units.select(F.col("uid").alias("lead"), F.col("doc_id").alias("source_doc_id"))
     listed = every.join(units, "uid").join(names, "lead").select("doc_id", "uid", "sig", "start", "end", F.col("words").alias("n_words"), "source_doc_id", "similarity")
     found = saved(merged(listed), "passages")
+    discard(texts, members)
     return found.select("doc_id", "start", "end", "n_words", "source_doc_id", "similarity", F.lit(False).alias("whole"), "sig").unionByName(
         copies.select("doc_id", F.lit(0).alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("first_id").alias("source_doc_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("whole"), "sig")
     )
