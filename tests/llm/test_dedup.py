@@ -394,6 +394,16 @@ def test_hot_join(spark):
     assert sorted(map(str, few.select("n", "k", "v").collect())) == sorted(map(str, left.join(right, "k", "left").select("n", "k", "v").collect()))
 
 
+def test_hot_join_with_buckets(spark):
+    rows = [(i, i % 300 if i % 3 else 7) for i in range(6000)] + [(-1, 900)]
+    left = common.saved(spark.createDataFrame(rows, "x long, k long"), "left")
+    right = common.bucketed(spark.createDataFrame([(k, f"t{k}") for k in range(310)], "k long, t string"), "k", 1000)
+    got = sorted(tuple(r) for r in common.join_bucketed(left, right, "k").select("x", "k", "t").collect())
+    assert got == sorted((x, k, f"t{k}") for x, k in rows if k < 310)
+    common.discard(right)
+    assert not spark.catalog.tableExists(right._name)
+
+
 @pytest.mark.parametrize("operator", [exact_dedup.exact_groups, chosen_path.jaccard_links, compact_windows.repeated_passages, line_dedup.kept_lines])
 def test_empty_tables(spark, operator):
     assert operator(table(spark, [])).count() == 0
