@@ -5,6 +5,8 @@ Traversals are rounds of joins over a frontier, for many seeds at once; each rou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,44 @@ def related(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, max_length: int = 5) -> DataFrame:
     """(src, dst, path, length) of the directed shortest path of each (src, dst), if it has ``max_length`` edges at most; of several, the first in
-    the order of ids. A note's path to itself is the note."""
+    the order of ids. A note's path to itself is the note.
+
+    Walks belong to sources, not to pairs: a note that a source has reached serves all its targets, and a source goes on while a pair is open.
+    """
+    left = [saved(pairs.select("src", F.col("dst").alias("at")).distinct())]
+
+    def hit(front: DataFrame) -> DataFrame:
+        found = saved(front.join(left[-1], ["src", "at"], "left_semi"))
+        left.append(saved(left[-1].join(found.select("src", "at"), ["src", "at"], "left_anti")))
+        discard(left.pop(0))
+        return found
+
+    return _walks(edges, left[0].select("src").distinct(), max_length, hit, lambda front: front.join(left[-1].select("src").distinct(), "src", "left_semi"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_length: int = 5) -> DataFrame:
+    """As ``shortest_path``, from each of the sources (id) to each of the targets (id) that it reaches; the pairs are never made."""
+    ends = saved(targets.select(F.col("id").alias("at")).distinct())
+    return _walks(edges, sources.select(F.col("id").alias("src")).distinct(), max_length, lambda front: front.join(ends, "at", "left_semi"), lambda front: front)
+
+
+def _walks(edges: DataFrame, sources: DataFrame, max_length: int, hit: Callable[[DataFrame], DataFrame], go_on: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``hit`` takes the wanted rows of a frontier (src, at, path), ``go_on`` those whose source is not done."""
     step = saved(edges.filter("src <> dst").select(F.col("src").alias("at"), F.col("dst").alias("next")))
-    front = pairs.distinct().select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"))
-    done = None
-    visited = front.select("src", "dst", "at")
+    front = sources.select("src", F.col("src").alias("at"), F.array("src").alias("path"))
+    done = visited = None
     for length in range(max_length + 1):
         front = saved(front)
-        hit = front.filter("at = dst").select("src", "dst", "path", F.lit(length).alias("length"))
-        done = hit if done is None else done.unionByName(hit)
-        front = front.join(hit.select("src", "dst"), ["src", "dst"], "left_anti")
+        found = hit(front).select("src", F.col("at").alias("dst"), "path", F.lit(length).alias("length"))
+        done = found if done is None else done.unionByName(found)
+        own = front.select("src", "at")
+        visited = own if visited is None else visited.unionByName(own)
+        front = go_on(front)
         if length == max_length or front.isEmpty():
             break
         # One path, the smallest, is enough for each note that is reached at this length.
-        reached = front.join(step, "at").groupBy("src", "dst", F.col("next").alias("at")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        front = reached.join(visited, ["src", "dst", "at"], "left_anti").select("src", "dst", "at", "path")
-        visited = visited.unionByName(front.select("src", "dst", "at"))
+        reached = front.join(step, "at").groupBy("src", F.col("next").alias("at")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+        front = reached.join(visited, ["src", "at"], "left_anti")
     return done
 
 

@@ -48,7 +48,7 @@ def edges(notes: DataFrame) -> DataFrame:
     """(src, dst, type), unique by src and dst: declared links to notes that exist, then wiki links where no edge is yet."""
     ids = notes.select(F.col("id").alias("dst"))
     declared = notes.select(F.col("id").alias("src"), F.explode("links").alias("dst")).join(ids, "dst", "left_semi").select("src", "dst", F.lit("links").alias("type"))
-    found = extract(notes)
+    found = saved(extract(notes).select("id", "link"))  # read several times, and small beside the contents
     wiki = found.join(resolve(found, notes), "link").select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("wiki_link").alias("type"))
     return declared.unionByName(wiki).groupBy("src", "dst").agg(F.min("type").alias("type"))
 

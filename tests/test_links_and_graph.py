@@ -89,6 +89,21 @@ def test_against_plain_python(spark):
                 assert p[0] == s and p[-1] == t and all(b in out[a] for a, b in zip(p, p[1:], strict=False))
 
 
+def test_paths_of_all_with_all(spark, monkeypatch):
+    rng = random.Random(8)
+    e = spark.createDataFrame(sorted({(f"{rng.randrange(60):02}", f"{rng.randrange(60):02}", "links") for _ in range(110)}), "src string, dst string, type string")
+    ids = spark.createDataFrame([(f"{i:02}",) for i in range(60)], "id string")
+    pairs = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst")))
+    want = {(r["src"], r["dst"]): (r["path"], r["length"]) for r in graph.shortest_path(e, pairs, 3).collect()}
+    rows = []
+    monkeypatch.setattr(graph, "saved", lambda df, keep=graph.saved: rows.append((out := keep(df)).count()) or out)
+    got = {(r["src"], r["dst"]): (r["path"], r["length"]) for r in graph.shortest_paths(e, ids, ids, 3).collect()}
+    assert got == want and max(rows) < 60 * 60 / 2  # what is written follows the walks, not sources times targets
+    rows.clear()
+    one = spark.createDataFrame([("00", f"{i:02}") for i in range(60)], "src string, dst string")
+    assert {(r["src"], r["dst"]): (r["path"], r["length"]) for r in graph.shortest_path(e, one, 3).collect()} == {k: v for k, v in want.items() if k[0] == "00"}
+
+
 def test_long_chain(spark):
     e = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}", "links") for i in range(200)], "src string, dst string, type string")
     assert [tuple(r) for r in graph.cluster_sizes(e).collect()] == [("000", 201)]
