@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import has_all_tags, preview
 from marginalia.operators import bm25, vectors
+from marginalia.scratch import saved
 
 RRF_K = 60
 
@@ -69,5 +70,6 @@ def search(mode: str, index: bm25.Index, table: DataFrame, queries: DataFrame, k
 
 def hydrate(hits: DataFrame, notes: DataFrame) -> DataFrame:
     """Hits with title, type, tags and a preview of their notes; hits whose note is gone are dropped."""
+    hits = saved(hits)  # else counting them would run the search
     own = notes.select("id", "title", "type", "tags", preview(F.col("content"), 300).alias("document"))
     return own.join(F.broadcast(hits) if hits.limit(100_001).count() <= 100_000 else hits, "id")

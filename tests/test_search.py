@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,33 @@ def test_maintenance(spark):
     assert [r["id"] for r in up.docs.orderBy("ord").collect()] == ["b", "c", "a", "z"]
 
 
+def test_segments(spark, monkeypatch):
+    texts = [(str(i), f"common w{i % 7} w{i % 7} x{i}") for i in range(40)]
+    docs = spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(texts)], "id string, ord long, text string").repartition(3)
+    plans = []
+    monkeypatch.setattr(bm25, "saved", lambda df, keep=bm25.saved: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    ix = bm25.build(docs.coalesce(3))
+    assert "ENSURE_REQUIREMENTS" not in plans[0] and "rangepartitioning" not in plans[0]  # postings stay with the task that counted them
+    want = {(i, n, *c) for n, (i, t) in enumerate(texts) for c in Counter(re.findall("[a-z][a-z0-9]*", t) + re.findall("[0-9]+", t)).items()}
+    assert {(r["id"], r["ord"], r["term"], r["tf"]) for r in ix.postings.collect()} == want
+    gone = spark.createDataFrame([("3",), ("3",), ("9",)], "id string")
+    few = sorted(map(tuple, bm25.remove(ix, gone).postings.collect()))
+    monkeypatch.setattr(bm25, "FEW_IDS", 0)
+    assert sorted(map(tuple, bm25.remove(ix, gone).postings.collect())) == few and {r[0] for r in few} == {i for i, _ in texts} - {"3", "9"}
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    ix = index(spark, [(str(n), f"alpha w{n}") for n in range(9)])
+    asked = spark.createDataFrame([(n, ("w3 alpha", "ALPHA w3!", "w5")[n % 3]) for n in range(30)] + [(77, "w3"), (77, "alpha")], "query_id int, text string")
+    seen = []
+    monkeypatch.setattr(bm25, "scores", lambda index, queries, f=bm25.scores: seen.append(queries.count()) or f(index, queries))
+    got: dict = {}
+    for r in bm25.search(ix, asked, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], round(r["score"], 9)))
+    assert seen == [2] and len(got) == 31
+    assert len({tuple(sorted(v)) for q, v in got.items() if q == 77 or q % 3 < 2}) == 1 and sorted(got[2])[0][1] == "5" and sorted(got[77])[0][1] == "3"
+
+
 def test_empty_corpus(spark):
     ix = index(spark, [("a", "")])
     assert ask(spark, ix, "alpha") == []
