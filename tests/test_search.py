@@ -2,7 +2,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import bm25, search, suggest, vectors
@@ -106,6 +108,21 @@ def test_vectors(spark):
     assert vectors.remove(v, v.filter("id = 'a'")).count() == 2
 
 
+def test_vectors_by_matrices(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 6)), 1).tolist()
+    v[50:90] = [v[50]] * 40  # copies, of which the smallest ids count
+    v[7], v[8], v[9], v[10] = [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], None
+    table = spark.createDataFrame([(f"{i:03}", x) for i, x in enumerate(v)], "id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, v[i]) for i in (0, 7, 8, 9, 10, 50, 51, 120)], "query_id int, vector array<double>")
+    got = [tuple(r) for r in vectors.search(table, asked, 8).select("query_id", "rank", "id", "score").orderBy("query_id", "rank").collect()]
+    pairs = table.withColumn("u", vectors.unit(F.col("embedding"))).crossJoin(asked.withColumn("a", vectors.unit(F.col("vector")))).withColumn("score", vectors.dot(F.col("u"), F.col("a")))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 8")
+    assert got == [tuple(r) for r in want.select("query_id", "rank", "id", "score").orderBy("query_id", "rank").collect()]
+    plan = vectors.search(table, asked.filter("query_id in (0, 50)"), 8)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("NestedLoopJoin") == 1  # only odd vectors are compared one by one
+
+
 def test_encoder(spark):
     from marginalia.session import ship
 
