@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -150,3 +151,27 @@ def test_suggest(spark):
     assert [(r["id"], r["score"], r["match_type"]) for r in got] == [("2", 0.95, "semantic"), ("1", 0.6, "keyword"), ("3", 0.45, "keyword")]
     out = spark.createDataFrame([("2",)], "id string")
     assert [r["id"] for r in suggest.suggest(texts, notes, near, 1, 0.6, out).collect()] == ["1"]
+
+
+def test_suggestions_of_many_notes(spark, monkeypatch):
+    rng = random.Random(4)
+    some = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(60)] + ["机器学习", "学习"]
+    notes = spark.createDataFrame([(str(i), " ".join(rng.choices(some, k=2)), " ".join(rng.choices(some, k=4)), []) for i in range(150)] + [("x", None, None, None)], "id string, title string, content string, tags array<string>")
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(some, k=i % 7))) for i in range(40)], "query_id int, text string")
+    near = spark.createDataFrame([(i, str(j), 0.9 - j / 100, j + 1) for i in range(0, 40, 3) for j in range(7)], "query_id int, id string, score double, rank int")
+    monkeypatch.setattr(suggest, "FIRST_NOTES", 30)
+    text = {r["id"]: r["t"] for r in notes.select("id", suggest.match_text(F.col("title"), F.col("tags"), F.col("content")).alias("t")).collect()}
+    words: dict = {}
+    for r in suggest.keywords(texts).orderBy("query_id", "rank").collect():
+        words.setdefault(r["query_id"], []).append(r["keyword"])
+    for least in (0.6, 0.9):  # one keyword is enough; several are wanted
+        got: dict = {}
+        for r in suggest.suggest(texts, notes, near, 5, least).filter("match_type = 'keyword'").collect():
+            got.setdefault(r["query_id"], {})[r["id"]] = (r["score"], r["matched_keywords"])
+        for q, own in words.items():
+            close = {str(j) for j in range(7) if q % 3 == 0 and 0.9 - j / 100 >= least}
+            held = {i: [w for w in own if w in t] for i, t in text.items() if i not in close}
+            raw = {i: 0.3 + 0.3 * len(m) / len(own) for i, m in held.items() if m and 0.3 + 0.3 * len(m) / len(own) >= least * 0.5}
+            first = sorted(raw)[: 10 - len(close)]
+            best = sorted(first, key=lambda i: (-round(raw[i], 3), i))[: max(0, 5 - len(close))]
+            assert got.get(q, {}) == {i: (round(raw[i], 3), held[i]) for i in best}
