@@ -28,7 +28,10 @@ def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "both") -> Data
 
 def related(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(seed, depth, id): breadth first without direction, each note at its smallest depth, the seed left out."""
-    step = saved(both_ways(edges))
+    return _related(saved(both_ways(edges)), seeds, depth)
+
+
+def _related(step: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     front = saved(seeds.select(F.col("id").alias("seed"), "id").distinct())
     seen = front.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
@@ -156,9 +159,10 @@ def enrich(hits: DataFrame, notes: DataFrame, edges: DataFrame, depth: int = 2,
     """Hits (query_id, id, rank) with neighbors (number of different ones) and related: up to ``per_depth`` notes of each depth, by id."""
     hits = saved(hits)
     seeds = hits.select("id").distinct()
-    near = related(edges, seeds, depth)
+    step = saved(both_ways(edges))  # edges are resolved once, for both
+    near = _related(step, seeds, depth)
     order = Window.partitionBy("seed", "depth").orderBy("id")
     few = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_depth).join(notes.select("id", "title"), "id")
     lists = few.groupBy(F.col("seed").alias("id")).agg(F.sort_array(F.collect_list(F.struct("depth", F.col("id").alias("other"), "title"))).alias("related"))
-    many = neighbors(edges, seeds).groupBy("id").agg(F.count(F.lit(1)).alias("neighbors"))
+    many = step.join(seeds, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("neighbors"))
     return hits.join(many, "id", "left").join(lists, "id", "left").withColumn("neighbors", F.coalesce("neighbors", F.lit(0).cast("long")))

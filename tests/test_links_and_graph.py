@@ -112,3 +112,20 @@ def test_long_chain(spark):
 def test_drawing(spark, notes):
     text = graph.draw(notes, links.edges(notes), notes.filter("id = '1'"))
     assert text.splitlines()[0].startswith("Alpha (1)") and "Beta (2)" in text
+
+
+def test_enrich_resolves_edges_once(spark, notes):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    e = links.edges(notes)
+    rows = e.collect()
+    counted = spark.createDataFrame(rows, e.schema).mapInArrow(count, e.schema)
+    hits = spark.createDataFrame([(1, "1", 1), (1, "3", 2), (2, "4", 1)], "query_id int, id string, rank int")
+    got = {r["id"]: (r["neighbors"], r["related"] and [(x["depth"], x["other"]) for x in r["related"]]) for r in graph.enrich(hits, notes, counted).collect()}
+    assert got == {"1": (2, [(1, "2"), (1, "3")]), "3": (2, [(1, "1"), (2, "2")]), "4": (0, None)}
+    assert seen.value == 2 * len(rows)  # once for each end

@@ -158,6 +158,18 @@ def test_vectors_by_matrices(spark):
     assert "MapInArrow" in plan and plan.count("NestedLoopJoin") == 1  # only odd vectors are compared one by one
 
 
+def test_units(spark):
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(200, 9)) * 10.0 ** rng.integers(-8, 8, size=(200, 1))).tolist() + [[0.0] * 9, [1e-200] * 9, [1e200] * 9]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id int, v array<double>").select("id", vectors.unit(F.col("v")).alias("u"))
+    assert [r["u"] for r in rows.orderBy("id").collect()] == vectors._units(np.array(v)).tolist()
+    kept = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[1.0], [2.0]])], names=["id", "v"])
+    assert [(i.to_pylist(), x.to_pylist()) for i, x in vectors._lots(iter([kept, kept.slice(0, 0), kept]))] == [([1, 2] * 2, [[1.0], [2.0]] * 2)]
+    # The length of a vector is not looked for again in each of its dimensions.
+    plan = rows.select("u")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("sqrt") == 1
+
+
 def test_encoder(spark):
     from marginalia.session import ship
 
