@@ -46,7 +46,7 @@ def keyword(index: bm25.Index, queries: DataFrame, k: int = 5, notes: DataFrame
     """Keyword search. Filters apply before the top k, over the statistics of the whole corpus."""
     if notes is not None and (note_type is not None or tags):
         ids = wanted_notes(notes, note_type, tags).select("id")
-        index = bm25.Index(index.postings.join(ids, "id", "left_semi"), index.docs.join(ids, "id", "left_semi"), index.terms, index.corpus)
+        index = bm25.only(index, ids)
     return bm25.search(index, queries, k, match_only)
 
 

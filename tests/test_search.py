@@ -89,6 +89,25 @@ def test_batches_of_a_segment(spark, monkeypatch):
     assert out[0] == out[1] and [r["term"] for r in out[0]][1:] == sorted(r["term"] for r in out[0][1:]) and all(r["n"] == len(r["held"]) for r in out[0])
 
 
+def test_a_posting_is_one_integer(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SEGMENT", 20)
+    docs = spark.createDataFrame([(str(i), i, f"common x{i % 9}" + " again" * i) for i in range(40)] + [("none", 40, "")], "id string, ord long, text string").coalesce(2)
+    ix = bm25.build(docs)
+    assert dict(bm25.segments_of(docs).dtypes)["held"] == "array<bigint>" and ix.numbered.count() == ix.numbered.select("no").distinct().count() == 40
+    want = sorted(map(tuple, ix.postings.collect()))
+    monkeypatch.setattr(bm25, "BITS", 0)
+    monkeypatch.setattr(bm25, "FEW_DOCS", 0)
+    assert sorted(map(tuple, bm25.build(docs).postings.collect())) == want
+    # The greatest numbers go and are not given again.
+    less = bm25.remove(ix, docs.filter("ord > 30").select("id"))
+    more = bm25.upsert(less, docs.filter("ord in (3, 30, 35)").withColumn("text", F.lit("new common")))
+    fresh = bm25.build(more.docs.select("id", "ord").join(docs.select("id", "text"), "id").withColumn("text", F.expr("if(id in ('3', '30', '35'), 'new common', text)")))
+    for name in ("postings", "docs"):
+        assert sorted(map(tuple, getattr(more, name).collect())) == sorted(map(tuple, getattr(fresh, name).collect()))
+    for text in ("common new", "x3 again", "x8"):
+        assert ask(spark, more, text, 40) == ask(spark, fresh, text, 40)
+
+
 def test_equal_queries_are_searched_once(spark, monkeypatch):
     ix = index(spark, [(str(n), f"alpha w{n}") for n in range(9)])
     asked = spark.createDataFrame([(n, ("w3 alpha", "ALPHA w3!", "w5")[n % 3]) for n in range(30)] + [(77, "w3"), (77, "alpha")], "query_id int, text string")
