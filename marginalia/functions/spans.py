@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 LETTER, DIGIT, LOW_LINE = 1, 2, 4
@@ -16,6 +17,8 @@ WORD = 21
 #: Bytes of text that are cut at once; a longer text is cut alone.
 CHUNK = 1 << 21
 _LAST = 0x1FFFF
+#: The characters beyond ASCII whose lower case holds ASCII letters.
+LOWER = {"\u0130": "i\u0307", "\u212a": "k"}
 
 
 def digits(spark: SparkSession) -> np.ndarray:
@@ -37,6 +40,17 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Texts whose tokens are those of the lower-case texts; characters beyond ASCII stay as they are where that makes no other tokens."""
+    for c, low in LOWER.items():
+        if pc.any(pc.match_substring(texts, c)).as_py():
+            texts = pc.replace_substring(texts, c, low)
+    data, offsets = _bytes(texts)
+    held = pa.py_buffer(data + ((data - 65 < 26).view(np.uint8) << 5))
+    kind = pa.LargeStringArray if pa.types.is_large_string(texts.type) else pa.StringArray
+    return kind.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64 if kind is pa.LargeStringArray else np.int32)), held)
+
+
 def tokens(low: pa.Array, other_digits: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """All tokens of lower-case texts and the row of each; those of a row are in the order of ``text.tokens``."""
     data, offsets = _bytes(low)

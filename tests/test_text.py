@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,3 +73,14 @@ def test_tokens_by_bytes(spark):
             got.setdefault(r, []).append(x)
         start = 7 if len(part) < len(column) else 0
         assert [got.get(r, []) for r in range(len(part))] == low.column("want").to_pylist()[start : start + len(part)]
+
+
+def test_lowered(spark):
+    lower = spark.sparkContext._jvm.org.apache.commons.lang3.StringUtils.lowerCase
+    every = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
+    assert {a: b for a, b in zip(every, lower("\n".join(every)).split("\n"), strict=True) if re.search("[ -~]", b)} == spans.LOWER
+    texts = ["AİB K9_Z@[ Kelvin ÉTÉ 学X", "", "ΑΣ ZZ٣", "İ"]
+    for part, own in ((pa.array(texts), texts), (pa.array(texts, pa.large_string()).slice(1, 2), texts[1:3])):
+        want = spans.tokens(pa.array([lower(t) for t in own]), spans.digits(spark))
+        found = spans.tokens(spans.lowered(part), spans.digits(spark))
+        assert found[0].to_pylist() == want[0].to_pylist() and found[1].tolist() == want[1].tolist()
