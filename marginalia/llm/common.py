@@ -35,13 +35,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver's JVM collects its garbage; a small driver seldom does that
+    by itself. Spark holds on to the last step until the next one has ended, so the files of a step may go only before the one after the next."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared scratch folder and read again: lineage is cut and a lost executor costs a read."""
     prepared(df.sparkSession)
+    tidy(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    # Spark drops the shuffle files of finished steps when the driver's JVM collects its garbage, which a small driver seldom does by itself.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    tidy(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -52,11 +58,12 @@ def bucketed(df: DataFrame, key: str, chars: int) -> DataFrame:
     only their other side. ``discard`` also forgets the table's name."""
     spark = df.sparkSession
     prepared(spark)
+    tidy(spark)
     path, name = scratch_dir(spark), f"marginalia_{uuid.uuid4().hex}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET + 1)
     held = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
     held.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     out = spark.table(name)
     out._scratch, out._name = path, name
     return out

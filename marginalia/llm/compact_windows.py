@@ -440,12 +440,13 @@ source_doc_id, similarity, whole (the text is a copy), sig (of the word sequence
     # Few keys come twice, so the others need not travel with their windows.
     again = saved(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "again")
     shared = saved(sieved(spread, again, "key").join(again, "key"), "shared")
+    discard(rows, again)  # the largest table goes before the next ones are written
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("near", 32).alias("near")), F.struct(F.lit(2).alias("side"), F.col("near").bitwiseAND(0xFFFFFFFF).alias("near")))).alias("x")
     banded = shared.select("uid", "key", "span", sides).filter("x.near <> 0").select(F.xxhash64("key", "x.side", "x.near").alias("band"), "x.side", "uid", "span")
     # The smallest document leads, so bands need the documents' order.
     order = units.select("uid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     banded = saved(banded.join(order.join(shared.select("uid").distinct(), "uid", "left_semi"), "uid"), "banded")
-    discard(rows, shared)
+    discard(shared)
     lead = F.min(F.struct("doc", F.col("uid").alias("lead"), F.col("span").alias("lead_span"))).alias("x")
     leaders = banded.groupBy("band").agg(lead, F.max("uid").alias("u2"), F.min("uid").alias("u1"), F.count(F.lit(1)).alias("_n")).filter("u1 <> u2").select("band", "x.lead", "x.lead_span", "_n")
     leaders = saved(leaders, "leaders")

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -408,3 +409,18 @@ def test_hot_join_with_buckets(spark):
 def test_empty_tables(spark, operator):
     assert operator(table(spark, [])).count() == 0
     assert operator(table(spark, [(1, None), (2, "")])).filter("doc_id is null").count() == 0
+
+
+def test_windows_go_before_bands_are_written(spark, corpus, monkeypatch):
+    """The largest scratch table of op8 is gone when those made from its shared windows are written."""
+    made, there = {}, {}
+
+    def watched(df, name):
+        if name == "banded":
+            there.update({n: os.path.exists(t._scratch.removeprefix("file://")) for n, t in made.items() if n in ("windows", "again", "shared")})
+        made[name] = common.saved(df, name)
+        return made[name]
+
+    monkeypatch.setattr(compact_windows, "saved", watched)
+    compact_windows.repeated_passages(table(spark, corpus)).count()
+    assert there == {"windows": False, "again": False, "shared": True}
