@@ -10,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 LETTER, DIGIT, LOW_LINE = 1, 2, 4
-_KINDS = np.zeros(256, np.uint8)
+#: Translations of bytes, which are faster than indexing by them.
+_KINDS, _LOW = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
 _KINDS[ord("a") : ord("z") + 1], _KINDS[ord("0") : ord("9") + 1], _KINDS[ord("_")] = LETTER, DIGIT, LOW_LINE
+_LOW[ord("A") : ord("Z") + 1] += 32
 #: Letters, digits and low lines of a word.
 WORD = 21
 #: Bytes of text that are cut at once; a longer text is cut alone.
@@ -42,11 +44,14 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def lowered(texts: pa.Array) -> pa.Array:
     """Texts whose tokens are those of the lower-case texts; characters beyond ASCII stay as they are where that makes no other tokens."""
-    for c, low in LOWER.items():
-        if pc.any(pc.match_substring(texts, c)).as_py():
-            texts = pc.replace_substring(texts, c, low)
     data, offsets = _bytes(texts)
-    held = pa.py_buffer(data + ((data - 65 < 26).view(np.uint8) << 5))
+    held = data.tobytes()
+    if found := [c for c in LOWER if c.encode() in held]:
+        for c in found:
+            texts = pc.replace_substring(texts, c, LOWER[c])
+        data, offsets = _bytes(texts)
+        held = data.tobytes()
+    held = pa.py_buffer(held.translate(_LOW.tobytes()))
     kind = pa.LargeStringArray if pa.types.is_large_string(texts.type) else pa.StringArray
     return kind.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64 if kind is pa.LargeStringArray else np.int32)), held)
 
@@ -56,10 +61,10 @@ def tokens(low: pa.Array, other_digits: np.ndarray) -> tuple[pa.Array, np.ndarra
     data, offsets = _bytes(low)
     if not len(data):
         return pa.array([], pa.string()), np.zeros(0, np.int64)
-    kinds = _KINDS[data]
+    kinds = np.frombuffer(data.tobytes().translate(_KINDS.tobytes()), np.uint8)
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # where texts begin, or end
-    ideographs = _points(data, np.flatnonzero((data >= 0xE4) & (data <= 0xE9)))
+    ideographs = _points(data, np.flatnonzero(data - 0xE4 <= 5))
     at = ideographs[0][(ideographs[1] >= 0x4E00) & (ideographs[1] <= 0x9FFF)]
     found = [(at, at + 3), _words(kinds, first), _runs(_numerals(data, kinds, other_digits), first)]
     rows = [np.repeat(np.arange(len(low)), np.diff(np.searchsorted(starts, offsets))) for starts, _ in found]
@@ -86,16 +91,19 @@ def _runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _words(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = _runs(kinds > 0, first)
-    letters = np.flatnonzero(kinds == LETTER)
+    letters = None
     out = []
     while len(starts):
         # A word begins at the first letter of what is left of its run.
         other = np.flatnonzero(kinds[starts] != LETTER)
         if len(other):
+            starts, other = _onwards(kinds, starts, ends, other)
+        if len(other):
+            letters = np.flatnonzero(kinds == LETTER) if letters is None else letters
             place = np.searchsorted(letters, starts[other])
-            starts = starts.copy()
             starts[other] = np.where(place < len(letters), letters[np.minimum(place, len(letters) - 1)] if len(letters) else 0, len(kinds))
-            keep = starts < ends
+        keep = starts < ends
+        if not keep.all():
             starts, ends = starts[keep], ends[keep]
         to = np.minimum(starts + WORD, ends)
         out.append((starts, to))
@@ -110,12 +118,25 @@ def _words(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[order], ends[order]
 
 
+def _onwards(kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, steps: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The starts moved on to the first letters or the ends, as far as a few steps go, and the places of those that are at neither."""
+    starts = starts.copy()
+    for _ in range(steps):
+        starts[other] += 1
+        at = starts[other]
+        other = other[at < ends[other]]
+        other = other[kinds[starts[other]] != LETTER]
+        if not len(other):
+            break
+    return starts, other
+
+
 def _numerals(data: np.ndarray, kinds: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Which bytes are those of digits."""
     inside = kinds == DIGIT
     leads = np.zeros(256, bool)
     leads[np.where(other < 0x800, 0xC0 | other >> 6, np.where(other < 0x10000, 0xE0 | other >> 12, 0xF0 | other >> 18))] = True
-    at = np.flatnonzero(leads[data])
+    at = np.flatnonzero(np.frombuffer(data.tobytes().translate(leads.tobytes()), bool))
     if len(at):
         at, points = _points(data, at)
         table = np.zeros(_LAST + 2, bool)

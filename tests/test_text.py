@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,15 @@ def test_lowered(spark):
         want = spans.tokens(pa.array([lower(t) for t in own]), spans.digits(spark))
         found = spans.tokens(spans.lowered(part), spans.digits(spark))
         assert found[0].to_pylist() == want[0].to_pylist() and found[1].tolist() == want[1].tolist()
+
+
+def test_words_after_long_runs_of_digits(monkeypatch):
+    """A word begins at the first letter of its run, however far; near ones are found without a list of all letters."""
+    low = pa.array(["7a1 __b 12 9_9_c d", "1" * 40 + "e" + "2" * 30 + " " + "_" * 50, "x" * 30 + "_" * 20 + "y"])
+    want = [t for x in low.to_pylist() for t in re.findall("[a-z][a-z0-9_]{0,20}", x)]
+    digits = [t for x in low.to_pylist() for t in re.findall(r"\d+", x)]
+    assert sorted(spans.tokens(low, np.zeros(0, np.int64))[0].to_pylist()) == sorted(want + digits)
+    lists = []
+    monkeypatch.setattr(spans.np, "searchsorted", lambda a, *b, keep=np.searchsorted, **c: lists.append(len(a)) or keep(a, *b, **c))
+    spans._words(spans._KINDS[np.frombuffer(b"7a1 __b 12 9_9_c d", np.uint8)], np.zeros(19, bool))
+    assert not lists
